@@ -1,0 +1 @@
+"""Column functions. The reference defines none, so none are built yet."""

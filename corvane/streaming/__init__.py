@@ -1,0 +1 @@
+"""Streaming operators. The reference defines none, so none are built yet."""
