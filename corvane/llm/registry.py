@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from corvane.llm import chat_format, line_dedup, mixing, secret_scan
+from corvane.llm.chat_format import op9_chat_format
+from corvane.llm.line_dedup import op10_line_dedup
+from corvane.llm.mixing import op1_mix_sources
+from corvane.llm.secret_scan import op5_secret_scan
 from corvane.llm.sentencepiece_op import op2_sentencepiece
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece,)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op5_secret_scan, op9_chat_format, op10_line_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.SQL,
+    "op5_secret_scan": secret_scan.SQL,
+    "op9_chat_format": chat_format.SQL,
+    "op10_line_dedup": line_dedup.SQL,
+}
