@@ -18,9 +18,9 @@ import ahocorasick
 
 SPACE = "▁"
 UNKNOWN, CONTROL, BYTE, NORMAL = 2, 3, 6, 1  # piece types of the model file
-CACHE_WORDS = 900_000
+CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 500_000
 SHORT = 64  # symbols up to which merging scans all pairs rather than keeping a heap
 NEVER = float("-inf")
 SHARED = 1 << 40  # puts a match far before the word's start
