@@ -212,6 +212,30 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     Shingles are compared by 64-bit hashes, sets by 128 bits.
     """
+    slim, info = _solved(docs)
+    return _classes(slim, info)
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without the rows that link, directly or through others, with the one of smallest doc_id, which stays.
+
+    All columns stay. Rows of equal doc_id and text are one document; of a
+    component's rows with the smallest doc_id one stays. Texts without words
+    all stay.
+    """
+    slim, info = _solved(docs)
+    labelled = slim.where("n > 0").join(info, ["s", "t"]).select("label", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("r"))
+    stays = labelled.groupBy("label").agg(F.min("r").alias("least"))
+    goes = labelled.join(stays, "label").where(F.col("r.key") != F.col("least.key")).select(F.col("r.key").alias("gone")).distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    kept = keyed.join(goes, F.col("key") == F.col("gone"), "left_anti")
+    again = slim.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    once = kept.join(again, "key", "left_anti").unionByName(kept.join(again, "key").dropDuplicates(["key"])) if not again.isEmpty() else kept
+    return once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, key, n, s, t) of each row; (s, t, n_links, label) of each set of one shingle or more."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text"))
@@ -245,12 +269,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         labelled = links.join(components(across), links["s"] == F.col("node"), "left").withColumn(
             "label", F.when(F.col("whole"), links["root"]).otherwise(F.coalesce(F.col("root"), F.col("s")))
         )
-    return _classes(slim, labelled.select("s", "t", "near", "label"), sets.select("s", "t", "copies"))
+    near = labelled.select("s", "t", "near", "label")
+    info = sets.join(near, ["s", "t"], "left").select("s", "t", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("label", "s").alias("label"))
+    return slim, written(info, "set-links")[0]
 
 
-def _classes(slim: DataFrame, labelled: DataFrame, sets: DataFrame) -> DataFrame:
-    info = sets.join(labelled, ["s", "t"], "left").select("s", "t", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("label", "s").alias("label"))
-    info, _ = written(info, "set-links")
+def _classes(slim: DataFrame, info: DataFrame) -> DataFrame:
     rows = slim.join(info, ["s", "t"], "left")
     least = slim.groupBy("s", "t").agg(F.min("id").alias("id")).join(info, ["s", "t"]).groupBy("label").agg(F.min("id").alias("component_id"))
     full = rows.where("n > 0").join(least, "label").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "n_links", "component_id")

@@ -11,9 +11,10 @@ from corvane.llm.mixing import op1_mix_sources
 from corvane.llm.quality import op6_quality
 from corvane.llm.secret_scan import op5_secret_scan
 from corvane.llm.sentencepiece_op import op2_sentencepiece
+from corvane.llm.token_files import op7_token_counts
 from corvane.llm.topk_search import op8_top_k
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_embedding_dedup, op4_jaccard_join, op5_secret_scan, op6_quality, op8_top_k, op9_chat_format, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_embedding_dedup, op4_jaccard_join, op5_secret_scan, op6_quality, op7_token_counts, op8_top_k, op9_chat_format, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
