@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import ahocorasick
 
-SPACE = "▁"
+MARK = "▁"  # stands for a space in pieces; here pieces are kept with spaces, so that most words are one byte a character
 UNKNOWN, CONTROL, BYTE, NORMAL = 2, 3, 6, 1  # piece types of the model file
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000  # of each of two generations
 CACHE_WORD_CHARS = 64
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 100_000  # for each length of the left one
 SHORT = 64  # symbols up to which merging scans all pairs rather than keeping a heap
 NEVER = float("-inf")
 SHARED = 1 << 40  # puts a match far before the word's start
@@ -54,7 +54,7 @@ def load_model(path: str) -> PieceModel:
         raise ValueError("only BPE models with byte fallback and without user-defined or unused pieces are supported")
     if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or trained.treat_whitespace_as_suffix:
         raise ValueError("only models without text normalisation are supported")
-    pieces, scores = tuple(p.piece for p in m.pieces), tuple(p.score for p in m.pieces)
+    pieces, scores = tuple(p.piece.replace(MARK, " ") if p.type == NORMAL else p.piece for p in m.pieces), tuple(p.score for p in m.pieces)
     rank = {p: s for p, s, k in zip(pieces, scores, kinds) if k == NORMAL}
     usable = tuple(i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == NORMAL and merged(p, rank) == [p])
     return PieceModel(hashlib.sha256(raw).hexdigest(), pieces, scores, kinds, usable, spec.add_dummy_prefix, trained.unk_surface)
@@ -114,14 +114,15 @@ class PieceCodec:
             # Scores that pieces share break the rule of adjacent pairs: words with such a piece are merged directly.
             self.matcher.add_word(p, len(p) + (SHARED if len(p) > 1 and self.rank[p] in twice else 0))
         self.matcher.make_automaton()
-        inside = any(SPACE in p.lstrip(SPACE) for p in self.id_of)
+        inside = any(" " in p.lstrip(" ") for p in self.id_of)
         #: No piece reaches over the start of a run of spaces, so texts fall apart there.
-        self.words = re.compile("(?s).+" if inside else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache = _Words(self)
+        self.words = re.compile("(?s).+" if inside else " +[^ ]*|[^ ]+")
+        #: By the left piece's length: whether a text falls apart there.
+        self.pairs: list[dict[str, bool]] = [{} for _ in range(max(map(len, self.id_of), default=0) + 2)]
+        self.cache = _Words(self, {})
         self.surface = [self._surface(i) for i in range(len(model.pieces))]
         self.controls = {i for i, k in enumerate(model.kinds) if k == CONTROL}
-        self.opens = [k == NORMAL and p.startswith(SPACE) for p, k in zip(model.pieces, model.kinds)]
+        self.opens = [k == NORMAL and p.startswith(" ") for p, k in zip(model.pieces, model.kinds)]
 
     def _surface(self, i: int) -> bytes:
         kind, piece = self.model.kinds[i], self.model.pieces[i]
@@ -129,13 +130,14 @@ class PieceCodec:
             return bytes([int(piece[3:5], 16)])
         if kind == CONTROL:
             return b""
-        return (self.model.unk_surface if kind == UNKNOWN else piece.replace(SPACE, " ")).encode()
+        return (self.model.unk_surface if kind == UNKNOWN else piece).encode()
 
     def fits(self, left: str, right: str) -> bool:
         """Whether merging the two pieces' text gives the two pieces again."""
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        ok = self.pairs[left, right] = merged(left + right, self.rank) == [left, right]
+        known = self.pairs[len(left)]
+        if len(known) >= CACHE_PAIRS:
+            known.clear()
+        ok = known[left + right] = merged(left + right, self.rank) == [left, right]
         return ok
 
     def split(self, word: str) -> list[str]:
@@ -147,20 +149,19 @@ class PieceCodec:
             return merged(word, self.rank)
         known, pairs = self.known, self.pairs
         failed = 0  # bit p: no valid rest starts at p
-        pieces: list[str] = []
-        pos, last = 0, ""
+        starts = [0]  # of the pieces taken and of the one looked for
+        pos, before = 0, -1
         end = longest.get(-1, 0) + 1
         while True:
-            if not failed >> end & 1:
-                piece = word[pos:end]
-                ok = True if not last else pairs.get((last, piece))
+            if not failed or not failed >> end & 1:
+                ok = True if before < 0 else pairs[pos - before].get(word[before:end])
                 if ok is None:
-                    ok = self.fits(last, piece)
+                    ok = self.fits(word[before:pos], word[pos:end])
                 if ok:
-                    pieces.append(piece)
+                    starts.append(end)
                     if end == n:
-                        return pieces
-                    pos, last = end, piece
+                        return [word[a:b] for a, b in zip(starts, starts[1:])]
+                    before, pos = pos, end
                     end = longest.get(pos - 1, pos) + 1
                     continue
             # The next shorter match; a character outside the vocabulary stands alone.
@@ -168,12 +169,12 @@ class PieceCodec:
             while end > pos + 1 and word[pos:end] not in known:
                 end -= 1
             if end == pos:
-                if not pieces:
+                if before < 0:
                     return merged(word, self.rank)
                 failed |= 1 << pos
-                end = pos
-                pos -= len(pieces.pop())
-                last = pieces[-1] if pieces else ""
+                end = starts.pop()
+                pos = before
+                before = starts[-2] if len(starts) > 1 else -1
 
     def word_ids(self, word: str) -> bytes:
         pieces = self.split(word)
@@ -186,10 +187,11 @@ class PieceCodec:
         """Ids as 32-bit integers of the machine's byte order; an empty text has none."""
         if not text:
             return b""
-        text = text.replace(" ", SPACE)
-        out = b"".join(map(self.cache.__getitem__, self.words.findall(SPACE + text if self.model.dummy_prefix else text)))
+        text = text.replace(MARK, " ")
+        out = b"".join(map(self.cache.__getitem__, self.words.findall(" " + text if self.model.dummy_prefix else text)))
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.cache.older = {}
+            self.cache = _Words(self, self.cache)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -214,13 +216,15 @@ class PieceCodec:
 
 
 class _Words(dict):
-    """Ids of words met before, bounded by CACHE_WORDS; long words aren't kept."""
+    """Ids of words met since the last turn; those of the turn before are looked up, not made again. Long words aren't kept."""
 
-    def __init__(self, codec: PieceCodec):
-        self.codec = codec
+    def __init__(self, codec: PieceCodec, older: dict[str, bytes]):
+        self.codec, self.older = codec, older
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.codec.word_ids(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.codec.word_ids(word)
         if len(word) <= CACHE_WORD_CHARS:
             self[word] = ids
         return ids
