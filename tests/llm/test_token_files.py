@@ -1,0 +1,72 @@
+import random
+from pathlib import Path
+
+import numpy as np
+import pytest
+import sentencepiece
+from oracle import SF
+
+from corvane.llm.sentencepiece_op import default_model
+from corvane.llm.token_files import END_ID, count_tokens, document_tokens, op7_token_counts, write_token_files
+
+LIB = sentencepiece.SentencePieceProcessor(model_file=default_model())
+
+
+def counts(spark, path, **more):
+    out = {}
+    for r in sorted(count_tokens(spark, str(path), **more).collect()):
+        assert r.nth == len(out.setdefault(r.file, []))
+        out[r.file].append(r.n_tokens)
+    return out
+
+
+def plain(ids):
+    out, n = [], 0
+    for i in ids:
+        if i == END_ID:
+            out.append(n)
+            n = 0
+        else:
+            n += 1
+    return out + [n] * (n > 0)
+
+
+@pytest.mark.parametrize("block", [1, 3, 64, 1 << 19])
+def test_blocks_are_stitched(spark, tmp_path, block):
+    draw = random.Random(block)
+    want = {}
+    for k in range(4):
+        ids = [END_ID if draw.random() < 0.2 else draw.choice([3, 0x0200, 0x0002 << 8 | 2, 65535]) for _ in range(draw.randint(1, 150))] + [9] * (k * 40) + [END_ID] * (k % 2)
+        name = f"part-{k}.bin"
+        Path(tmp_path, name).write_bytes(np.array(ids, "<u2").tobytes())
+        want[name] = plain(ids)
+    Path(tmp_path, "part-empty.bin").write_bytes(b"")
+    assert counts(spark, tmp_path, block_tokens=block) == want
+
+
+def test_odd_number_of_bytes_is_an_error(spark, tmp_path):
+    Path(tmp_path, "part-0.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="multiple of element size"):
+        counts(spark, tmp_path)
+
+
+def test_files_hold_ids_and_separators_only(spark, odd_docs, tmp_path):
+    write_token_files(odd_docs.coalesce(1), f"{tmp_path}/t", default_model())
+    (file,) = Path(tmp_path, "t").glob("part-*")
+    want = [i for r in odd_docs.coalesce(1).collect() for i in [*LIB.encode(r.text or ""), END_ID]]
+    assert np.frombuffer(file.read_bytes(), "<u2").tolist() == want
+
+
+def test_query_counts_each_document(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.n_tokens for r in op7_token_counts(spark, SF).collect()}
+    assert got == {i: len(LIB.encode(t or "")) for i, t in texts.items()}
+
+
+def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    odd_docs.repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = sorted(((r.doc_id or 0), r.n_tokens) for r in document_tokens(docs, default_model()).collect())
+    assert got == sorted(((r.doc_id or 0), len(LIB.encode(r.text or ""))) for r in docs.collect())
+    no_docs.write.parquet(f"{tmp_path}/e")
+    assert document_tokens(spark.read.parquet(f"{tmp_path}/e"), default_model()).count() == 0
