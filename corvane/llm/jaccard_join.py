@@ -16,7 +16,7 @@ from corvane.llm.shingles import mix, shingle_set
 
 PERCENT = 80
 SKETCH_BITS, CHUNK_BITS = 18, 10
-WANTED_BITS = 26
+SIEVE_BITS = 26
 TILE_SHINGLES = 1 << 20
 BIN_SHINGLES = 1 << 22
 _U = np.uint64
@@ -96,25 +96,41 @@ def _digest(x: np.ndarray, seed: int) -> int:
 
 
 def _candidates(profiles: DataFrame) -> DataFrame:
-    """(g, area) of the prefix groups that share a rare shingle with a group of fitting size, directly or through others."""
-    groups = profiles.where("n > 0").groupBy("g").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings, path = written(groups.select("g", "n", F.explode("prefix").alias("token")), "postings")
-    fits = (F.col("lists") > 2) | (100 * F.col("least") >= PERCENT * F.col("most"))
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("lists"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("g").alias("head"))
-    shared = lists.where((F.col("lists") > 1) & fits).select("token", "head")
-    edges = postings.join(shared, "token").where("g <> head").select(F.col("g").alias("u"), F.col("head").alias("v"))
-    areas = components(edges)
-    dropped(profiles.sparkSession, path)
+    """(g, area) of the prefix groups that share a rare shingle with a group of fitting size, directly or through others.
+
+    Each prefix shingle is aggregated to the least and greatest of its groups.
+    Where two rows have it, those are the pair; only for shingles of more rows
+    do postings meet the least group, a sieve of fixed size letting few others
+    through, so that the bulk of the postings is shuffled once, pre-aggregated.
+    """
+    spark = profiles.sparkSession
+    postings = profiles.select("g", "n", F.explode("prefix").alias("token"))
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("g").alias("low"), F.max("g").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    shared, path = written(lists.where("low < high").select("token", "k", "low", "high", (100 * F.col("least") >= PERCENT * F.col("most")).alias("fits")), "shared")
+    many = shared.where("k > 2").select("token", "low")
+    sieve = spark.sparkContext.broadcast(_sieve(many.select("token")))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = b.column("prefix").flatten().to_numpy()
+            g = np.repeat(b.column("g").to_numpy(), np.diff(b.column("prefix").offsets.to_numpy()))
+            through = _in_sieve(tokens, sieve.value)
+            yield pa.RecordBatch.from_arrays([pa.array(g[through]), pa.array(tokens[through])], ["g", "token"])
+
+    again = profiles.select("g", "prefix").mapInArrow(passing, "g long, token long")
+    starred = again.join(many, "token").where("g <> low").select(F.col("g").alias("u"), F.col("low").alias("v"))
+    pairs = shared.where("k = 2 AND fits").select(F.col("high").alias("u"), F.col("low").alias("v"))
+    areas = components(starred.unionByName(pairs))
+    dropped(spark, path)
     return areas.unionByName(areas.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("g"), F.col("root").alias("area"))
 
 
-def _wanted(keys: DataFrame) -> np.ndarray:
-    """A bit for each hash bucket that holds one of the keys: of fixed size, and only a sieve before an exact join."""
-    bits = 1 << WANTED_BITS
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """A bit for each of 2**SIEVE_BITS ranges that holds one of a column's hashes: of fixed size, and only put before an exact join."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(b.column("key").to_numpy().view(np.uint64) >> _U(64 - WANTED_BITS)).astype(np.int64)
+            at = np.unique(b.column(0).to_numpy().view(np.uint64) >> _U(64 - SIEVE_BITS)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 13), pa.array(at & 8191)], ["chunk", "bit"])
 
     def join_bits(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,21 +139,24 @@ def _wanted(keys: DataFrame) -> np.ndarray:
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "bits": [np.packbits(own).tobytes()]})
 
     marks = keys.mapInArrow(mark, "chunk long, bit long").distinct().groupBy("chunk").applyInPandas(join_bits, "chunk long, bits binary")
-    out = np.zeros((bits >> 13, 1024), np.uint8)
+    out = np.zeros((1 << SIEVE_BITS - 13, 1024), np.uint8)
     for r in marks.collect():
         out[r.chunk] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
+def _in_sieve(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    at = (hashes.view(np.uint64) >> _U(64 - SIEVE_BITS)).astype(np.int64)
+    return np.flatnonzero(sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+
+
 def _sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, shingles) for the rows of docs whose key is wanted; only those texts are hashed again, and none is shuffled."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(keys.select("key")))
+    wanted = docs.sparkSession.sparkContext.broadcast(_sieve(keys.select("key")))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = (b.column("key").to_numpy().view(np.uint64) >> _U(64 - WANTED_BITS)).astype(np.int64)
-            chosen = np.flatnonzero(wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-            b = b.take(pa.array(chosen))
+            b = b.take(pa.array(_in_sieve(b.column("key").to_numpy(), wanted.value)))
             sets = [shingle_set(raw).view(np.int64) for raw in _texts(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
@@ -266,9 +285,8 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if across.isEmpty():
         labelled = links.withColumn("label", F.col("root"))
     else:
-        labelled = links.join(components(across), links["s"] == F.col("node"), "left").withColumn(
-            "label", F.when(F.col("whole"), links["root"]).otherwise(F.coalesce(F.col("root"), F.col("s")))
-        )
+        joined = links.join(components(across).withColumnRenamed("root", "top"), F.col("s") == F.col("node"), "left")
+        labelled = joined.withColumn("label", F.when(F.col("whole"), F.col("root")).otherwise(F.coalesce("top", "s")))
     near = labelled.select("s", "t", "near", "label")
     info = sets.join(near, ["s", "t"], "left").select("s", "t", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("label", "s").alias("label"))
     return slim, written(info, "set-links")[0]
