@@ -19,6 +19,7 @@ SAMPLE = 4096  # rows that the top level is fitted on, and that first bounds com
 TOP_NODES = 64
 QUERY_TILE, DATA_TILE, LEAF, FAN = 2048, 8192, 64, 32
 _LEAST = -np.inf
+_LAST = (1 << 63) - 1
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -77,7 +78,7 @@ def dual_search(q: np.ndarray, q_row: np.ndarray, floor: np.ndarray, d: np.ndarr
     exact = float(np.linalg.norm(q, axis=1).max()) * float(np.linalg.norm(d, axis=1).max()) < 2**52
     best = np.full((len(q), k), _LEAST if exact else -(1 << 200), float if exact else object)
     place = np.full((len(q), k), -1)
-    ids = np.append(d_id, np.iinfo(np.int64).max)
+    ids = np.append(d_id, _LAST)
     worst = floor.astype(float)
     stack = [(cover_tree(q, np.arange(len(q))), cover_tree(d, np.arange(len(d))))]
     while stack:
@@ -133,7 +134,9 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = vectors.where(finite("embedding")).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    rows = vectors.where(finite("embedding")).select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce("vec_id", F.lit(_LAST).cast("long")).alias("id"), F.col("vec_id").isNull().alias("nameless"), "embedding"
+    )  # ids without nulls stay integers in pandas
     rows, _ = written(rows, "vectors")
     sample = rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).toPandas()
     schema = "query_id long, rank int, vec_id long, score long"
@@ -152,7 +155,7 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
             far = squares(v, wide(centres))
             pdf["top"] = far.argmin(1)
             pdf["away"] = np.sqrt(far.min(1))
-            pdf["query"] = (pdf["vec_id"].fillna(1) % every == 0).to_numpy() & pdf["vec_id"].notna().to_numpy()
+            pdf["query"] = (pdf["id"] % every == 0) & ~pdf["nameless"]
             pdf["floor"] = _LEAST
             if len(at := np.flatnonzero(pdf["query"])) and len(some) > k:
                 s = v[at] @ wide(some).T
@@ -160,10 +163,10 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
                 # Less a margin for products that doubles don't hold exactly.
                 kth = np.partition(s, -k, axis=1)[:, -k]
                 pdf.loc[pdf.index[at], "floor"] = kth - 1e-9 * np.abs(s[np.isfinite(s)]).max(initial=0)
-            yield pdf[["row", "vec_id", "embedding", "top", "away", "query", "floor"]]
+            yield pdf[["row", "id", "nameless", "embedding", "top", "away", "query", "floor"]]
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    placed, _ = written(rows.mapInPandas(place, f"row long, vec_id long, embedding {kind}, top int, away double, query boolean, floor double"), "placed")
+    placed, _ = written(rows.mapInPandas(place, f"row long, id long, nameless boolean, embedding {kind}, top int, away double, query boolean, floor double"), "placed")
     stats = placed.groupBy("top").agg(
         F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.count_if("query").alias("queries"),
         F.max(F.when(F.col("query"), F.col("away"))).alias("q_radius"), F.min(F.when(F.col("query"), F.col("floor"))).alias("worst"),
@@ -182,26 +185,24 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
     ddl = "top int, first int, parts int, others array<int>"
     own = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     on_side = lambda df, side: df.join(F.broadcast(spark.createDataFrame(side, ddl)), "top").withColumn("own", own).withColumn("other", F.explode("others"))
-    d = on_side(placed, data_side).select("row", "vec_id", "embedding", "floor", F.lit(False).alias("asks"), F.col("other").alias("qt"), F.col("own").alias("dt"))
-    q = on_side(placed.where("query"), query_side).select("row", "vec_id", "embedding", "floor", F.lit(True).alias("asks"), F.col("own").alias("qt"), F.col("other").alias("dt"))
+    d = on_side(placed, data_side).select("row", "id", "nameless", "embedding", "floor", F.lit(False).alias("asks"), F.col("other").alias("qt"), F.col("own").alias("dt"))
+    q = on_side(placed.where("query"), query_side).select("row", "id", "nameless", "embedding", "floor", F.lit(True).alias("asks"), F.col("own").alias("qt"), F.col("other").alias("dt"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy()
         v, row = scaled(matrix(pdf["embedding"])), pdf["row"].to_numpy()
-        ids = pdf["vec_id"].fillna(np.iinfo(np.int64).max).to_numpy().astype(np.int64)
-        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_row", "query_id", "row", "vec_id", "score")})
+        ids, nameless = pdf["id"].to_numpy(), pdf["nameless"].to_numpy()
         if not asks.any() or asks.all():
-            return empty
+            return pd.DataFrame({"query_row": row[:0], "query_id": row[:0], "row": row[:0], "id": row[:0], "nameless": nameless[:0], "score": row[:0]})
         best, at = dual_search(v[asks], row[asks], pdf["floor"].to_numpy()[asks], v[~asks], row[~asks], ids[~asks], k)
         i, j = np.nonzero(at >= 0)
-        p = at[i, j]
-        found = pdf["vec_id"][~asks].to_numpy()[p]
-        return pd.DataFrame({"query_row": row[asks][i], "query_id": ids[asks][i], "row": row[~asks][p], "vec_id": pd.array(found, "Int64"), "score": [int(x) for x in best[i, j]]})
+        p = np.flatnonzero(~asks)[at[i, j]]
+        return pd.DataFrame({"query_row": row[asks][i], "query_id": ids[asks][i], "row": row[p], "id": ids[p], "nameless": nameless[p], "score": [int(x) for x in best[i, j]]})
 
-    found = q.unionByName(d).groupBy("qt", "dt").applyInPandas(search, "query_row long, query_id long, row long, vec_id long, score long")
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
+    found = q.unionByName(d).groupBy("qt", "dt").applyInPandas(search, "query_row long, query_id long, row long, id long, nameless boolean, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "nameless", "id", "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", F.when(~F.col("nameless"), F.col("id")).alias("vec_id"), "score")
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

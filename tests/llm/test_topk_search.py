@@ -44,6 +44,12 @@ def test_odd_vectors(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_ids_beyond_doubles_beside_null_ones(spark):
+    big = (1 << 60) // 50 * 50
+    rows = [(big, [1.0]), (big + 1, [2.0]), (big + 2, [2.0]), (None, [2.0]), (big + 50, [1.0]), (None, [3.0])]
+    assert got(spark, rows) == brute(rows)
+
+
 def test_few_rows(spark):
     assert got(spark, []) == []
     assert got(spark, [(0, [1.0])]) == []
@@ -52,7 +58,7 @@ def test_few_rows(spark):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(i, [float(np.float32(3e6 + i)), float(np.float32(1e6 * i))]) for i in range(0, 120, 10)]
+    rows = [(i, [float(np.float32(1e6 + i)), float(np.float32(7e5 - 3 * i))]) for i in range(0, 120, 10)]
     assert got(spark, rows) == brute(rows)
 
 
