@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import bounded_batches, dropped, table, written
@@ -15,7 +15,8 @@ from corvane.llm.components import components
 from corvane.llm.shingles import mix, shingle_set
 
 PERCENT = 80
-SKETCH_BITS, CHUNK_BITS = 18, 10
+SKETCH_BITS, CHUNK_BITS = 21, 13
+LIST_GROUPS = 48  # groups of one shingle up to which their pairs are counted one by one
 SIEVE_BITS = 26
 TILE_SHINGLES = 1 << 20
 BIN_SHINGLES = 1 << 22
@@ -40,20 +41,25 @@ def _common_shingles(docs: DataFrame) -> np.ndarray:
         for b in batches:
             found = [np.zeros(0, np.uint64), *map(shingle_set, _texts(b, "text"))]
             total += np.bincount((np.concatenate(found) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        parts = total.reshape(-1, chunk)
+        # Held to 16 bits for each task: what is that frequent within one task is among the most frequent anyway.
+        parts = np.minimum(total, 0xFFFF).astype(np.uint16).reshape(-1, chunk)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(chunk, np.int64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "counts": [total.tobytes()]})
+    def adder(kind: type):
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(chunk, np.int64)
+            for x in pdf["counts"]:
+                total += np.frombuffer(x, kind)
+            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "counts": [np.minimum(total, 0x7FFFFFFF).astype(np.int32).tobytes()]})
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").withColumn("salt", F.spark_partition_id() % 64)
-    summed = parts.groupBy("chunk", "salt").applyInPandas(add, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
-    out = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, chunk), np.int64)
+        return add
+
+    schema = "chunk int, counts binary"
+    parts = docs.select("text").mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % 64)
+    summed = parts.groupBy("chunk", "salt").applyInPandas(adder(np.uint16), schema).groupBy("chunk").applyInPandas(adder(np.int32), schema)
+    out = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, chunk), np.int32)
     for r in summed.collect():
-        out[r.chunk] = np.frombuffer(r.counts, np.int64)
+        out[r.chunk] = np.frombuffer(r.counts, np.int32)
     return out.ravel()
 
 
@@ -95,33 +101,63 @@ def _digest(x: np.ndarray, seed: int) -> int:
         return int(mix(np.array([np.sum(mix(x ^ _U(seed * 0x9E3779B97F4A7C15 % (1 << 64)))) + _U(len(x))])).view(np.int64)[0])
 
 
-def _candidates(profiles: DataFrame) -> DataFrame:
-    """(g, area) of the prefix groups that share a rare shingle with a group of fitting size, directly or through others.
+def _least_common(small: Column, large: Column) -> Column:
+    """Prefix shingles that sets of these sizes have in common at least, if they link.
 
-    Each prefix shingle is aggregated to the least and greatest of its groups.
-    Where two rows have it, those are the pair; only for shingles of more rows
-    do postings meet the least group, a sieve of fixed size letting few others
-    through, so that the bulk of the postings is shuffled once, pre-aggregated.
+    Linked sets have PERCENT / (100 + PERCENT) of their sizes' sum in common,
+    and at most one set's part after its prefix of that isn't in both prefixes.
     """
-    spark = profiles.sparkSession
-    postings = profiles.select("g", "n", F.explode("prefix").alias("token"))
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("g").alias("low"), F.max("g").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    shared, path = written(lists.where("low < high").select("token", "k", "low", "high", (100 * F.col("least") >= PERCENT * F.col("most")).alias("fits")), "shared")
-    many = shared.where("k > 2").select("token", "low")
-    sieve = spark.sparkContext.broadcast(_sieve(many.select("token")))
+    needed = F.ceil(PERCENT * (small + large) / (100 + PERCENT))
+    return needed - F.ceil(PERCENT * large / 100) + 1
+
+
+def _postings(profiles: DataFrame) -> DataFrame:
+    """(g, n, token), once each, of the prefix shingles that more than one group has, and of few others.
+
+    All postings are shuffled once, aggregated to the least and greatest group
+    of each shingle; a sieve of fixed size then lets the shared ones through.
+    """
+    lists = profiles.select("g", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high"))
+    sieve = profiles.sparkSession.sparkContext.broadcast(_sieve(lists.where("low < high").select("token")))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = b.column("prefix").flatten().to_numpy()
-            g = np.repeat(b.column("g").to_numpy(), np.diff(b.column("prefix").offsets.to_numpy()))
+            tokens, each = b.column("prefix").flatten().to_numpy(), np.diff(b.column("prefix").offsets.to_numpy())
             through = _in_sieve(tokens, sieve.value)
-            yield pa.RecordBatch.from_arrays([pa.array(g[through]), pa.array(tokens[through])], ["g", "token"])
+            columns = [pa.array(np.repeat(b.column(c).to_numpy(), each)[through]) for c in ("g", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens[through])], ["g", "n", "token"])
+
+    return profiles.select("g", "n", "prefix").mapInArrow(passing, "g long, n long, token long").distinct()
 
-    again = profiles.select("g", "prefix").mapInArrow(passing, "g long, token long")
-    starred = again.join(many, "token").where("g <> low").select(F.col("g").alias("u"), F.col("low").alias("v"))
-    pairs = shared.where("k = 2 AND fits").select(F.col("high").alias("u"), F.col("low").alias("v"))
-    areas = components(starred.unionByName(pairs))
-    dropped(spark, path)
+
+def _candidates(profiles: DataFrame) -> DataFrame:
+    """(g, area) of the prefix groups that may link with another group, directly or through others.
+
+    For shingles of up to LIST_GROUPS groups, common shingles are counted for
+    each pair of fitting size; each posting gives fewer than LIST_GROUPS rows.
+    Longer lists become stars instead, whatever the pairs in them, and a group's
+    number of such shingles is added to its pairs' counts, so none is missed.
+    """
+    spark = profiles.sparkSession
+    postings, path = written(_postings(profiles), "postings")
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("g").alias("head")).where("k > 1")
+    short = postings.join(lists.where(F.col("k") <= LIST_GROUPS).select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("a"))
+    fitting = lambda x, i: F.transform(
+        F.filter(F.slice("a", i + 2, LIST_GROUPS), lambda y: 100 * x["n"] >= PERCENT * y["n"]),
+        lambda y: F.struct(F.least(x["g"], y["g"]).alias("v"), F.greatest(x["g"], y["g"]).alias("u"), x["n"].alias("small"), y["n"].alias("large")),
+    )
+    pairs = short.select(F.explode(F.flatten(F.transform("a", fitting))).alias("p")).select("p.*").groupBy("u", "v", "small", "large").agg(F.count(F.lit(1)).alias("common"))
+    starred = postings.join(lists.where(F.col("k") > LIST_GROUPS).select("token", "head"), "token")
+    stars, star_path = written(starred.select("g", "head"), "stars")
+    more = stars.groupBy("g").agg(F.count(F.lit(1)).alias("more"))
+    counted = (
+        pairs.join(more.select(F.col("g").alias("u"), F.col("more").alias("more_u")), "u", "left")
+        .join(more.select(F.col("g").alias("v"), F.col("more").alias("more_v")), "v", "left")
+        .withColumn("most", F.col("common") + F.least(F.coalesce("more_u", F.lit(0)), F.coalesce("more_v", F.lit(0))))
+    )
+    near = counted.where(F.col("most") >= _least_common(F.col("small"), F.col("large"))).select("u", "v")
+    areas = components(near.unionByName(stars.where("g <> head").select(F.col("g").alias("u"), F.col("head").alias("v"))))
+    dropped(spark, path, star_path)
     return areas.unionByName(areas.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("g"), F.col("root").alias("area"))
 
 
@@ -221,10 +257,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     1. Shingles are counted in a sketch of fixed size over all documents, which
        orders them from rare to common; equal sets collapse to one.
-    2. Similar sets share one of their rarest fifth. Documents with the same
-       prefix and size form one group; groups meet on prefix shingles, are
-       filtered by size, and connected ones make an area. Lists of a shingle
-       become stars, never all pairs.
+    2. Similar sets share shingles of their rarest fifth. Documents with the
+       same prefix and size form one group; groups meet on prefix shingles,
+       pairs are filtered by size and by how many they share, and connected
+       groups make an area. Long lists of a shingle become stars.
     3. Only sets in areas are built again, and compared exactly within their
        area, in tiles of bounded size where an area is large. Tiles return link
        counts and one edge for each set.
@@ -258,12 +294,13 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text"))
-    profiles, _ = written(_profiles(rows), "profiles")
-    slim = profiles.select("id", "key", "n", "s", "t", "g")
+    profiles, profile_path = written(_profiles(rows), "profiles")
+    slim, _ = written(profiles.select("id", "key", "n", "s", "t", "g"), "sets")
     sets = slim.where("n > 0").groupBy("s", "t").agg(F.max("n").alias("n"), F.max("g").alias("g"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"))
     # A group of several sets is an area even if no other group is near it.
     crowded = sets.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", F.col("g").alias("area"))
     areas = _candidates(profiles).unionByName(crowded).groupBy("g").agg(F.min("area").alias("area"))
+    dropped(spark, profile_path)
     chosen, _ = written(sets.join(areas, "g").select("s", "t", "n", "copies", "key", "area"), "area-sets")
 
     size = chosen.groupBy("area").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).where("k > 1")
