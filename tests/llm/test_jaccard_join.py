@@ -55,8 +55,9 @@ def corpus(n=160, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("tile", [300, 1 << 20])
-def test_like_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "lists"), [(300, 3), (1 << 20, 48)])
+def test_like_brute_force(spark, monkeypatch, tile, lists):
+    monkeypatch.setattr(jaccard_join, "LIST_GROUPS", lists)
     monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", tile)
     monkeypatch.setattr(jaccard_join, "BIN_SHINGLES", 4 * tile)
     rows = corpus()
