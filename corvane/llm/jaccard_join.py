@@ -183,7 +183,7 @@ def _sieve(keys: DataFrame) -> np.ndarray:
 
 def _in_sieve(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
     at = (hashes.view(np.uint64) >> _U(64 - SIEVE_BITS)).astype(np.int64)
-    return np.flatnonzero(sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+    return (sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def _sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.take(pa.array(_in_sieve(b.column("key").to_numpy(), wanted.value)))
+            b = b.filter(pa.array(_in_sieve(b.column("key").to_numpy(), wanted.value)))
             sets = [shingle_set(raw).view(np.int64) for raw in _texts(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
@@ -281,12 +281,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     slim, info = _solved(docs)
     labelled = slim.where("n > 0").join(info, ["s", "t"]).select("label", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("r"))
     stays = labelled.groupBy("label").agg(F.min("r").alias("least"))
-    goes = labelled.join(stays, "label").where(F.col("r.key") != F.col("least.key")).select(F.col("r.key").alias("gone")).distinct()
+    goes, _ = written(labelled.join(stays, "label").where(F.col("r.key") != F.col("least.key")).select(F.col("r.key").alias("key")).distinct(), "going")
+    again, _ = written(slim.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "repeated")
+    # Only rows that may go are shuffled, with their texts; the sieve tells them, and exact joins decide.
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(goes.unionByName(again)))
+    touched = F.arrow_udf(lambda keys: pa.array(_in_sieve(keys.to_numpy(), sieve.value)), "boolean")
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
-    kept = keyed.join(goes, F.col("key") == F.col("gone"), "left_anti")
-    again = slim.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    once = kept.join(again, "key", "left_anti").unionByName(kept.join(again, "key").dropDuplicates(["key"])) if not again.isEmpty() else kept
-    return once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    left = keyed.where(touched("key")).join(goes, "key", "left_anti")
+    kept = keyed.where(~touched("key")).unionByName(left.join(again, "key", "left_anti"))
+    if not again.isEmpty():
+        kept = kept.unionByName(left.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
