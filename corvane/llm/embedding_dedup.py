@@ -185,3 +185,17 @@ def embedding_classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_classes(table(spark, sf_dir, "embeddings"))
+
+
+SQL = f"""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {COSINE}),
+    r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+    m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, m.least) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
+    FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id
+"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import bounded_batches, dropped, table, written
 from corvane.llm.components import components
-from corvane.llm.shingles import mix, shingle_set
+from corvane.llm.shingles import WORDS, mix, shingle_set
 
 PERCENT = 80
 SKETCH_BITS, CHUNK_BITS = 21, 13
@@ -344,3 +344,24 @@ def _classes(slim: DataFrame, info: DataFrame) -> DataFrame:
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ),
+    d AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+                            ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i : i + {WORDS - 1}], ' '))) END AS s
+        FROM w
+    ),
+    x AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM d),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM c WHERE 100 * k >= {PERCENT} * (na + nb - k)),
+    r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+    m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+    SELECT doc_id, len(s) AS n_shingles, coalesce(n_links, 0) AS n_links, least(doc_id, m.least) AS component_id
+    FROM d LEFT JOIN n ON n.a = doc_id LEFT JOIN m ON m.a = doc_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat_format, line_dedup, mixing, secret_scan, topk_search
+from corvane.llm import chat_format, embedding_dedup, jaccard_join, line_dedup, mixing, secret_scan, topk_search
 from corvane.llm.chat_format import op9_chat_format
 from corvane.llm.embedding_dedup import op3_embedding_dedup
 from corvane.llm.jaccard_join import op4_jaccard_join
@@ -18,6 +18,8 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_embed
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
+    "op3_embedding_dedup": embedding_dedup.SQL,
+    "op4_jaccard_join": jaccard_join.SQL,
     "op5_secret_scan": secret_scan.SQL,
     "op8_top_k": topk_search.SQL,
     "op9_chat_format": chat_format.SQL,
