@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,8 @@ def _common_shingles(docs: DataFrame) -> np.ndarray:
         return add
 
     schema = "chunk int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % 64)
+    salts = math.isqrt(docs.rdd.getNumPartitions()) + 1  # two levels of sums of about as many parts each
+    parts = docs.select("text").mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % salts)
     summed = parts.groupBy("chunk", "salt").applyInPandas(adder(np.uint16), schema).groupBy("chunk").applyInPandas(adder(np.int32), schema)
     out = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, chunk), np.int32)
     for r in summed.collect():
