@@ -20,7 +20,7 @@ SKETCH_BITS, CHUNK_BITS = 21, 13
 LIST_GROUPS = 48  # groups of one shingle up to which their pairs are counted one by one
 SIEVE_BITS = 26
 TILE_SHINGLES = 1 << 20
-BIN_SHINGLES = 1 << 22
+BIN_SHINGLES = 1 << 20
 _U = np.uint64
 
 
