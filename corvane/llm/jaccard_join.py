@@ -56,7 +56,7 @@ def _common_shingles(docs: DataFrame) -> np.ndarray:
         return add
 
     schema = "chunk int, counts binary"
-    salts = math.isqrt(docs.rdd.getNumPartitions()) + 1  # two levels of sums of about as many parts each
+    salts = math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1  # two levels of sums
     parts = docs.select("text").mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % salts)
     summed = parts.groupBy("chunk", "salt").applyInPandas(adder(np.uint16), schema).groupBy("chunk").applyInPandas(adder(np.int32), schema)
     out = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, chunk), np.int32)
