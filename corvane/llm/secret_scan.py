@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import dropped, table, written
+from corvane.llm.common import table, written
 
 SCOPE = 200  # code points between the starts of two parts of one credential
 
@@ -103,7 +103,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     nothing = F.expr("cast(array() as array<struct<kind int, nth int, gap int, size int, ok boolean>>)")
     hits = F.when(text.rlike(_ANY_BASE), F.concat(*(_hits(text, k) for k in KINDS))).otherwise(nothing)
     found, _ = written(docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("twin"), hits.alias("hits")), "secret-hits")
-    kept, path = written(_spans(found.where(F.size("hits") > 0)), "secret-spans")
+    kept, _ = written(_spans(found.where(F.size("hits") > 0)), "secret-spans")
     every = kept.where(F.col("kind") < len(BASE)).unionByName(_linked(kept))
     listed = every.groupBy("id", "twin").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     all_rows = found.select("id", "twin")
