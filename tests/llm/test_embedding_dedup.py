@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from oracle import SF, connect, same as same_rows
 
 from corvane.llm import embedding_dedup
 from corvane.llm.embedding_dedup import embedding_classes
@@ -71,3 +72,7 @@ def test_odd_vectors(spark):
 
 def test_empty_table(spark):
     assert embedding_classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_matches_sql(spark):
+    same_rows(embedding_dedup.op3_embedding_dedup(spark, SF), embedding_dedup.SQL, connect())

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from oracle import SF, connect, same as same_rows
 
 from corvane.llm import jaccard_join
 from corvane.llm.jaccard_join import drop_near_duplicates, jaccard_classes
@@ -102,3 +103,7 @@ def test_hashes_of_parts_equal_hashes_of_the_whole(monkeypatch):
     monkeypatch.setattr(module, "_SHARE", 37)
     assert (word_hashes(text.encode()) == whole).all()
     assert len(shingle_set(text.encode())) == len(shingles(text))
+
+
+def test_query_matches_sql(spark):
+    same_rows(jaccard_join.op4_jaccard_join(spark, SF), jaccard_join.SQL, connect())
