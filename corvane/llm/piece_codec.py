@@ -15,6 +15,8 @@ from array import array
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 
 MARK = "▁"  # stands for a space in pieces; here pieces are kept with spaces, so that most words are one byte a character
 UNKNOWN, CONTROL, BYTE, NORMAL = 2, 3, 6, 1  # piece types of the model file
@@ -114,13 +116,15 @@ class PieceCodec:
             # Scores that pieces share break the rule of adjacent pairs: words with such a piece are merged directly.
             self.matcher.add_word(p, len(p) + (SHARED if len(p) > 1 and self.rank[p] in twice else 0))
         self.matcher.make_automaton()
-        inside = any(" " in p.lstrip(" ") for p in self.id_of)
         #: No piece reaches over the start of a run of spaces, so texts fall apart there.
-        self.words = re.compile("(?s).+" if inside else " +[^ ]*|[^ ]+")
+        self.apart = not any(" " in p.lstrip(" ") for p in self.id_of)
+        self.chunks = re.compile(" +[^ ]*|[^ ]+" if self.apart else "(?s).+")
         #: By the left piece's length: whether a text falls apart there.
         self.pairs: list[dict[str, bool]] = [{} for _ in range(max(map(len, self.id_of), default=0) + 2)]
         self.cache = _Words(self, {})
         self.surface = [self._surface(i) for i in range(len(model.pieces))]
+        self.surface_array = pa.array(self.surface, pa.binary())
+        self.control_mask = np.array([k == CONTROL for k in model.kinds])
         self.controls = {i for i, k in enumerate(model.kinds) if k == CONTROL}
         self.opens = [k == NORMAL and p.startswith(" ") for p, k in zip(model.pieces, model.kinds)]
 
@@ -188,12 +192,22 @@ class PieceCodec:
         if not text:
             return b""
         text = text.replace(MARK, " ")
-        out = b"".join(map(self.cache.__getitem__, self.words.findall(" " + text if self.model.dummy_prefix else text)))
+        words = text.split(" ") if self.model.dummy_prefix and self.apart else [""]
+        if "" not in words:  # single spaces only: each word has one before it
+            out = b"".join(map(self.cache.__getitem__, words))
+        else:
+            out = b"".join(map(self._chunk, self.chunks.findall(" " + text if self.model.dummy_prefix else text)))
         if len(self.cache) > CACHE_WORDS:
             self.cache.older = {}
             self.cache = _Words(self, self.cache)
         return out
 
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of spaces and the word after them. Words after one space are cached without it."""
+        if chunk[0] != " " or not self.apart:
+            return self.word_ids(chunk)
+        return self.cache[chunk if chunk[1:2] == " " else chunk[1:]]
+
     def decode(self, ids: list[int]) -> str:
         """Text of any ids of the vocabulary: control ids say nothing, bytes that aren't UTF-8 become U+FFFD each."""
         runs = [ids]
@@ -224,7 +238,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self.codec.word_ids(word)
+            ids = self.codec.word_ids(word if word[:1] == " " else " " + word)
         if len(word) <= CACHE_WORD_CHARS:
             self[word] = ids
         return ids

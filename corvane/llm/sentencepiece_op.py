@@ -60,8 +60,26 @@ def encoded(model: PieceModel, texts: pa.Array) -> pa.Array:
 
 
 def decoded(model: PieceModel, ids: pa.Array) -> pa.Array:
+    """Texts of lists of ids: all pieces of a batch are looked up at once, and lie one after the other."""
     codec = codec_of(model)
-    return pa.array([None if x is None else codec.decode(x) for x in ids.to_pylist()], pa.string())
+    ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    pieces = codec.surface_array.take(pa.array(flat))
+    place = np.frombuffer(pieces.buffers()[1], np.int32, len(flat) + 1, pieces.offset * 4)[ends] if len(flat) else ends
+    data = pieces.buffers()[2].to_pybytes() if len(flat) and pieces.buffers()[2] else b""
+    ids_of = lambda k: flat[ends[k] : ends[k + 1]].tolist()
+    if len(flat) and codec.control_mask[flat].any():
+        return pa.array([codec.decode(ids_of(k)) if ids[k].is_valid else None for k in range(len(ids))], pa.string())
+    out: list[str | None] = []
+    for k in range(len(ids)):
+        if not ids[k].is_valid:
+            out.append(None)
+            continue
+        start = place[k] + (model.dummy_prefix and ends[k] < ends[k + 1] and codec.opens[flat[ends[k]]])
+        try:
+            out.append(data[start : place[k + 1]].decode())
+        except UnicodeDecodeError:
+            out.append(codec.decode(ids_of(k)))
+    return pa.array(out, pa.string())
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:

@@ -64,6 +64,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert digests(encode_documents(no_docs, default_model())).count() == 0
 
 
+def test_batches_decode_like_single_lists():
+    import pyarrow as pa
+
+    from corvane.llm.sentencepiece_op import decoded
+
+    draw = random.Random(7)
+    for special in (0, 1):
+        lists = [[], None, [28705], [259, 5000]]
+        for _ in range(300):
+            lists.append([draw.choice([draw.randrange(259, 32000), draw.randrange(3, 259), 28705, *[draw.randrange(3)] * special]) for _ in range(draw.randint(0, 9))])
+        for array_of in (pa.array(lists, pa.list_(pa.int32())), pa.array([[1, 2], *lists], pa.list_(pa.int32())).slice(1)):
+            assert decoded(MODEL, array_of).to_pylist() == [None if x is None else LIB.decode(x) for x in lists]
+    assert decoded(MODEL, pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+    assert decoded(MODEL, pa.array([[], None], pa.list_(pa.int32()))).to_pylist() == ["", None]
+
+
 def test_nulls_stay_null(spark):
     codec = PieceTokenizer(spark, default_model())
     df = spark.createDataFrame([(None,), ("",), ("a b",)], "ids string")
