@@ -30,11 +30,15 @@ def _removals(docs: DataFrame) -> DataFrame:
     repeated = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
     found = windows.join(repeated, "w").select("id", "twin", "pos", "w", F.coalesce(~F.col("id").eqNullSafe(F.col("first")), F.lit(False)).alias("elsewhere"))
     in_doc = Window.partitionBy("id", "twin", "w").orderBy("pos")
-    ranked = found.repartition("id", "twin").withColumn("later", F.col("elsewhere") | (F.rank().over(in_doc) > 1))
-    covers = lambda later: F.flatten(F.transform(
-        F.collect_set(F.when(F.col("later") == later, F.col("pos"))), lambda p: F.array(*(p + i for i in range(WINDOW)))
-    ))
-    return ranked.groupBy("id", "twin").agg(F.array_except(covers(True), covers(False)).alias("gone")).where(F.size("gone") > 0)
+    ranked = found.repartition("id", "twin").select(
+        "id", "twin", "pos", "elsewhere", (F.rank().over(in_doc) > 1).alias("later"), (F.count(F.lit(1)).over(in_doc) > 1).alias("twice"),
+        (F.max("pos").over(in_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > F.col("pos")).alias("again"),
+    )
+    covers = lambda which: F.flatten(F.transform(F.collect_set(F.when(which, F.col("pos"))), lambda p: F.array(*(p + i for i in range(WINDOW)))))
+    elsewhere, later = F.col("elsewhere"), F.col("later")
+    here = F.array_except(covers(~elsewhere & later), covers(~elsewhere & ~later & F.col("again")))
+    gone = F.array_except(F.array_union(covers(elsewhere), here), covers(~elsewhere & ~later & F.col("twice")))
+    return ranked.groupBy("id", "twin").agg(gone.alias("gone")).where(F.size("gone") > 0)
 
 
 def mark_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -42,12 +46,16 @@ def mark_repeated_lines(docs: DataFrame) -> DataFrame:
 
     Lines are what lies between line feeds. A window is three consecutive
     lines, equal where all three are equal exactly; it is repeated if it occurs
-    more than once in the table. Of its occurrences the one in the smallest
-    doc_id, at its first line there, stays; a line goes if a later occurrence
-    covers it and no staying one does. Texts of fewer than three lines have no
-    window and stay as they are, as do empty and null ones (0 lines for null).
-    Rows of one doc_id are the same document: none is later than another. A
-    null doc_id comes after all others.
+    more than once in the table. A line goes if a window that covers it occurs
+    in a document of smaller doc_id, or further up in its own text; its first
+    occurrence stays, as going back from repeat to repeat ends at a line that
+    does. Windows that overlap their own repeats in one text keep their first
+    occurrence, but not lines that come from another document. What a document
+    loses doesn't depend on later ones, such as copies of it. Texts of fewer
+    than three lines have no window and stay as they are, as do empty and null
+    ones (0 lines for null). Rows of one doc_id are the same document: none is
+    later than another, and windows of a row that is there twice stay whole
+    where they come first. A null doc_id comes after all others.
 
     Only (document, line number, hash) is shuffled to find repetitions, counted
     before the shuffle; the texts are shuffled once, to meet their removals. A

@@ -23,6 +23,20 @@ def test_repeats_within_a_document(spark):
     assert kept(spark, [(1, "a\nb\nc\nz\na\nb\nc\n")]) == {1: ("a\nb\nc\nz\n", 8, 3)}
 
 
+def test_copies_do_not_shield_passages(spark):
+    for n in (3, 4, 10):
+        passage = [f"passage {i}" for i in range(n)]
+        host = "\n".join(["a", "b", *passage, "c", "d"])
+        for copies in ([], [(3, host)]):
+            out = kept(spark, [(1, "\n".join(passage)), (2, host), *copies])
+            assert out[1][2] == 0 and out[2] == ("a\nb\nc\nd", n + 4, n)
+            assert all(out[i] == ("", n + 4, n + 4) for i, _ in copies)
+    inner = "a\nb\nc\nz\na\nb\nc\nq"  # repeats its own lines
+    assert kept(spark, [(1, inner), (2, inner)]) == {1: ("a\nb\nc\nz\nq", 8, 3), 2: ("", 8, 8)}
+    both = "\n".join(["x", "p", "q", "r", "s", "y"] * 2)  # a passage of another document, twice, with the same lines around it
+    assert kept(spark, [(1, "p\nq\nr\ns"), (2, both)])[2][0] == "x\ny"
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = mark_repeated_lines(odd_docs).collect()
     assert len(out) == odd_docs.count()
