@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from corvane.llm.common import table, written
 
-SCOPE = 200  # code points between the starts of two parts of one credential
+SCOPE = 200  # code points between the end of one part of a credential and the start of the next
 
 
 def _any_case(word: str) -> str:
@@ -62,17 +62,20 @@ def _linked(spans: DataFrame) -> DataFrame:
 
     A user name needs an assigned or hexadecimal secret; a bare 40-character
     key needs an access identifier, and must not lie in a base span; an
-    endpoint needs a secret and an identifier. Parts meet by an equi-join on
-    document and stretch of SCOPE code points (with the two beside it), which
-    holds few spans however long the document is.
+    endpoint needs a secret and an identifier. What counts is the gap between
+    two spans, not their lengths. Parts meet by an equi-join on document and
+    stretch of SCOPE code points: a weak span is in each that it covers, a part
+    also in those that lie up to SCOPE before and after it. A stretch holds few
+    spans however long the document is, and a span as many rows as its length asks.
     """
     n_base = len(BASE)
+    stretches = lambda first, last: F.sequence(F.floor(first / SCOPE), F.floor(last / SCOPE))
     part = spans.where(F.col("kind") != _NUMBER["endpoint"]).select(
         F.col("id").alias("p_id"), F.col("twin").alias("p_twin"), F.col("kind").alias("p_kind"), F.col("start").alias("p_start"), F.col("end").alias("p_end"),
-        F.explode(F.array(*((F.floor(F.col("start") / SCOPE) + d).alias("s") for d in (-1, 0, 1)))).alias("stretch"),
+        F.explode(stretches(F.col("start") - SCOPE, F.col("end") + SCOPE)).alias("stretch"),
     )
-    weak = spans.where(F.col("kind") >= n_base).withColumn("stretch", F.floor(F.col("start") / SCOPE))
-    near = F.abs(F.col("p_start") - F.col("start")) <= SCOPE
+    weak = spans.where(F.col("kind") >= n_base).withColumn("stretch", F.explode(stretches(F.col("start"), F.col("end"))))
+    near = (F.col("p_start") - F.col("end") <= SCOPE) & (F.col("start") - F.col("p_end") <= SCOPE)
     met = weak.join(part, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("twin") == F.col("p_twin")) & (weak["stretch"] == part["stretch"]) & near)
     is_kind = lambda *names: F.coalesce(F.bool_or(F.col("p_kind").isin([_NUMBER[n] for n in names])), F.lit(False))
     flags = met.groupBy("id", "twin", "kind", "start", "end").agg(
