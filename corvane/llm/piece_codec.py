@@ -20,9 +20,9 @@ import pyarrow as pa
 
 MARK = "▁"  # stands for a space in pieces; here pieces are kept with spaces, so that most words are one byte a character
 UNKNOWN, CONTROL, BYTE, NORMAL = 2, 3, 6, 1  # piece types of the model file
-CACHE_WORDS = 300_000  # of each of two generations
+CACHE_WORDS = 200_000  # of each of two generations; with the pairs some 100 MB in each encoding worker
 CACHE_WORD_CHARS = 64
-CACHE_PAIRS = 100_000  # for each length of the left one
+CACHE_PAIRS = 250_000  # over all lengths of the left one
 SHORT = 64  # symbols up to which merging scans all pairs rather than keeping a heap
 NEVER = float("-inf")
 SHARED = 1 << 40  # puts a match far before the word's start
@@ -99,8 +99,48 @@ def merged(text: str, rank: dict[str, float]) -> list[str]:
     return [s for s in symbols if s]
 
 
+class PieceDecoder:
+    """Decoder of one model: surfaces only, no matcher."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.surface = [self._surface(i) for i in range(len(model.pieces))]
+        self.surface_array = pa.array(self.surface, pa.binary())
+        self.control_mask = np.array([k == CONTROL for k in model.kinds])
+        self.controls = {i for i, k in enumerate(model.kinds) if k == CONTROL}
+        self.opens = [k == NORMAL and p.startswith(" ") for p, k in zip(model.pieces, model.kinds)]
+
+    def _surface(self, i: int) -> bytes:
+        kind, piece = self.model.kinds[i], self.model.pieces[i]
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        if kind == CONTROL:
+            return b""
+        return (self.model.unk_surface if kind == UNKNOWN else piece).encode()
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of any ids of the vocabulary: control ids say nothing, bytes that aren't UTF-8 become U+FFFD each."""
+        runs = [ids]
+        if not self.controls.isdisjoint(ids):  # bytes on two sides of a control id are read apart
+            runs = [[]]
+            for i in ids:
+                runs.append([]) if i in self.controls else runs[-1].append(i)
+        text = ""
+        for run in runs:
+            raw = b"".join(map(self.surface.__getitem__, run))
+            try:
+                text += raw.decode()
+            except UnicodeDecodeError:
+                text += _lenient(raw)
+        if self.model.dummy_prefix:
+            first = next((i for i in ids if self.model.kinds[i] != CONTROL), None)
+            if first is not None and self.opens[first]:
+                return text[1:]
+        return text
+
+
 class PieceCodec:
-    """Encoder and decoder of one model; one per Python worker."""
+    """Encoder of one model."""
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -121,27 +161,16 @@ class PieceCodec:
         self.chunks = re.compile(" +[^ ]*|[^ ]+" if self.apart else "(?s).+")
         #: By the left piece's length: whether a text falls apart there.
         self.pairs: list[dict[str, bool]] = [{} for _ in range(max(map(len, self.id_of), default=0) + 2)]
+        self.n_pairs = 0
         self.cache = _Words(self, {})
-        self.surface = [self._surface(i) for i in range(len(model.pieces))]
-        self.surface_array = pa.array(self.surface, pa.binary())
-        self.control_mask = np.array([k == CONTROL for k in model.kinds])
-        self.controls = {i for i, k in enumerate(model.kinds) if k == CONTROL}
-        self.opens = [k == NORMAL and p.startswith(" ") for p, k in zip(model.pieces, model.kinds)]
-
-    def _surface(self, i: int) -> bytes:
-        kind, piece = self.model.kinds[i], self.model.pieces[i]
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        if kind == CONTROL:
-            return b""
-        return (self.model.unk_surface if kind == UNKNOWN else piece).encode()
-
     def fits(self, left: str, right: str) -> bool:
         """Whether merging the two pieces' text gives the two pieces again."""
-        known = self.pairs[len(left)]
-        if len(known) >= CACHE_PAIRS:
-            known.clear()
-        ok = known[left + right] = merged(left + right, self.rank) == [left, right]
+        if self.n_pairs >= CACHE_PAIRS:
+            for known in self.pairs:
+                known.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        ok = self.pairs[len(left)][left + right] = merged(left + right, self.rank) == [left, right]
         return ok
 
     def split(self, word: str) -> list[str]:
@@ -208,26 +237,6 @@ class PieceCodec:
             return self.word_ids(chunk)
         return self.cache[chunk if chunk[1:2] == " " else chunk[1:]]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of any ids of the vocabulary: control ids say nothing, bytes that aren't UTF-8 become U+FFFD each."""
-        runs = [ids]
-        if not self.controls.isdisjoint(ids):  # bytes on two sides of a control id are read apart
-            runs = [[]]
-            for i in ids:
-                runs.append([]) if i in self.controls else runs[-1].append(i)
-        text = ""
-        for run in runs:
-            raw = b"".join(map(self.surface.__getitem__, run))
-            try:
-                text += raw.decode()
-            except UnicodeDecodeError:
-                text += _lenient(raw)
-        if self.model.dummy_prefix:
-            first = next((i for i in ids if self.model.kinds[i] != CONTROL), None)
-            if first is not None and self.opens[first]:
-                return text[1:]
-        return text
-
 
 class _Words(dict):
     """Ids of words met since the last turn; those of the turn before are looked up, not made again. Long words aren't kept."""
@@ -261,10 +270,20 @@ def _lenient(raw: bytes) -> str:
 
 
 _CODECS: dict[str, PieceCodec] = {}
+_DECODERS: dict[str, PieceDecoder] = {}
 
 
 def codec_of(model: PieceModel) -> PieceCodec:
-    """This worker's codec for a model; made once for all its tasks."""
+    """This worker's encoder of a model; made once for all its tasks."""
     if model.key not in _CODECS:
+        _CODECS.clear()
         _CODECS[model.key] = PieceCodec(model)
     return _CODECS[model.key]
+
+
+def decoder_of(model: PieceModel) -> PieceDecoder:
+    """This worker's decoder of a model."""
+    if model.key not in _DECODERS:
+        _DECODERS.clear()
+        _DECODERS[model.key] = PieceDecoder(model)
+    return _DECODERS[model.key]

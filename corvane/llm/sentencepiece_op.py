@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from corvane.llm.common import bounded_batches, table
-from corvane.llm.piece_codec import PieceModel, codec_of, load_model
+from corvane.llm.piece_codec import PieceModel, codec_of, decoder_of, load_model
 
 MODEL = "piece_bpe_32k.model"
 
@@ -25,8 +25,12 @@ class PieceTokenizer:
 
     The model goes to the workers as a broadcast bounded by its vocabulary. Rows
     are independent: no shuffle, and other columns pass by whatever their names
-    are. A null text or list of ids gives null; an empty one gives an empty one.
-    A word of any length is encoded in linear memory.
+    are; rows that repeat are coded each, and an empty table stays empty. A null
+    text or list of ids gives null; an empty one gives an empty one. A text or
+    word of any length is coded whole, in memory that is linear in its length.
+
+    both() encodes and decodes in one call: one Python worker for each task
+    instead of two, and ids cross over to it only once.
     """
 
     def __init__(self, spark: SparkSession, model_path: str):
@@ -41,8 +45,13 @@ class PieceTokenizer:
         def decode(ids: pa.Array) -> pa.Array:
             return decoded(model.value, ids)
 
+        @F.arrow_udf("ids array<int>, decoded string")
+        def both(texts: pa.Array) -> pa.Array:
+            ids = encoded(model.value, texts)
+            return pa.StructArray.from_arrays([ids, decoded(model.value, ids)], ["ids", "decoded"])
+
         # Marked so that Spark never copies the calls when it folds projections: each text is encoded once.
-        self._encode, self._decode = encode.asNondeterministic(), decode.asNondeterministic()
+        self._encode, self._decode, self._both = encode.asNondeterministic(), decode.asNondeterministic(), both.asNondeterministic()
 
     def encode(self, text: Column | str) -> Column:
         return self._encode(text)
@@ -50,6 +59,10 @@ class PieceTokenizer:
     def decode(self, ids: Column | str) -> Column:
         return self._decode(ids)
 
+    def both(self, text: Column | str) -> Column:
+        """struct(ids, decoded), both null for a null text."""
+        return self._both(text)
+
 
 def encoded(model: PieceModel, texts: pa.Array) -> pa.Array:
     codec = codec_of(model)
@@ -61,7 +74,7 @@ def encoded(model: PieceModel, texts: pa.Array) -> pa.Array:
 
 def decoded(model: PieceModel, ids: pa.Array) -> pa.Array:
     """Texts of lists of ids: all pieces of a batch are looked up at once, and lie one after the other."""
-    codec = codec_of(model)
+    codec = decoder_of(model)
     ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
     pieces = codec.surface_array.take(pa.array(flat))
     place = np.frombuffer(pieces.buffers()[1], np.int32, len(flat) + 1, pieces.offset * 4)[ends] if len(flat) else ends
@@ -83,10 +96,9 @@ def decoded(model: PieceModel, ids: pa.Array) -> pa.Array:
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids and the text decoded from them; a null text counts as empty."""
+    """doc_id, ids and the text decoded from them, for each row; a null text counts as empty, repeated rows are coded each."""
     codec = PieceTokenizer(docs.sparkSession, model_path)
-    ids = docs.select("doc_id", codec.encode(F.coalesce("text", F.lit(""))).alias("ids"))
-    return ids.withColumn("decoded", codec.decode("ids"))
+    return docs.select("doc_id", codec.both(F.coalesce("text", F.lit(""))).alias("coded")).select("doc_id", "coded.ids", "coded.decoded")
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -7,18 +7,19 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvane.llm.piece_codec import PieceCodec, load_model, merged
-from corvane.llm.sentencepiece_op import PieceTokenizer, default_model, digests, encode_documents
+from corvane.llm.piece_codec import PieceCodec, PieceDecoder, load_model, merged
+from corvane.llm.sentencepiece_op import PieceTokenizer, default_model, digests, encode_documents, op2_sentencepiece
 
 LIB = sentencepiece.SentencePieceProcessor(model_file=default_model())
 MODEL = load_model(default_model())
 CODEC = PieceCodec(MODEL)
+DECODER = PieceDecoder(MODEL)
 
 
 def agree(text):
     ids = list(array("i", CODEC.encode(text)))
     assert ids == LIB.encode(text)
-    assert CODEC.decode(ids) == LIB.decode(ids)
+    assert DECODER.decode(ids) == LIB.decode(ids)
 
 
 @pytest.mark.parametrize("text", ["", " ", "  lead", "tail  ", "a  b", "\n", "a\nb\tc", "▁x", "x▁▁y", "<s>hi</s><0x41>", "é日𝒳\x00z", " " * 1000 + "x", "a" * 5000, "日本語" * 1000, "-" * 300, "the cat " * 400])
@@ -36,14 +37,28 @@ def test_any_ids_decode_like_the_library():
     draw = random.Random(5)
     for _ in range(2000):
         ids = [draw.choice([draw.randrange(32000), draw.randrange(3, 259), draw.randrange(5), 28705, 259]) for _ in range(draw.randint(0, 12))]
-        assert CODEC.decode(ids) == LIB.decode(ids)
+        assert DECODER.decode(ids) == LIB.decode(ids)
 
 
-def test_short_and_long_merging_agree():
+def test_short_and_long_merging_agree(monkeypatch):
+    from corvane.llm import piece_codec
+
     draw = random.Random(6)
-    for _ in range(200):
-        word = "▁" + "".join(draw.choice("abething") for _ in range(draw.randint(1, 60)))
-        assert merged(word, CODEC.rank) == merged(word * 3, CODEC.rank)[: len(merged(word, CODEC.rank))] or len(word) > 16
+    words = [" " + "".join(draw.choice("abething") for _ in range(draw.randint(1, 63))) for _ in range(300)]
+    short = [merged(w, CODEC.rank) for w in words]
+    monkeypatch.setattr(piece_codec, "SHORT", 0)
+    assert [merged(w, CODEC.rank) for w in words] == short
+    assert all("".join(s) == w for s, w in zip(short, words))
+
+
+def test_query_like_the_library_on_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = LIB.encode(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(LIB.decode(ids).encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op2_sentencepiece(spark, sf).collect()}
+    assert got == want
 
 
 def test_small_cache_changes_nothing(monkeypatch):
@@ -85,3 +100,5 @@ def test_nulls_stay_null(spark):
     df = spark.createDataFrame([(None,), ("",), ("a b",)], "ids string")
     coded = df.withColumn("codes", codec.encode("ids")).withColumn("back", codec.decode("codes"))
     assert [tuple(r) for r in coded.collect()] == [(None, None, None), ("", [], ""), ("a b", LIB.encode("a b"), "a b")]
+    both = df.select(codec.both("ids").alias("b")).select("b.ids", "b.decoded")
+    assert [tuple(r) for r in both.collect()] == [(None, None), ([], ""), (LIB.encode("a b"), "a b")]
