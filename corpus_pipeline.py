@@ -44,7 +44,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, digests of them and of the text they decode to, and its place in the mix (null if docs isn't read from files)."""
     codec = PieceTokenizer(spark, default_model())
-    coded = _placed(docs).withColumn("ids", codec.encode(F.coalesce("text", F.lit("")))).withColumn("decoded", codec.decode("ids"))
+    coded = _placed(docs).withColumn("coded", codec.both(F.coalesce("text", F.lit("")))).select("doc_id", "source", "mix_pos", "coded.ids", "coded.decoded")
     return coded.select(
         "doc_id",
         "source",
