@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,15 +25,18 @@ class Layout:
     """A record layout: the field paths it is known by, and which of them make its turns.
 
     Either a list of turns with fields for role and text, or the fields of one
-    question (joined by an empty line where not empty) and of its answer.
+    question (joined by an empty line where not empty) and of its answer, or
+    rows of a table, one for each turn, with a key, an order, a role and a text.
     """
 
     name: str
     paths: tuple[str, ...]
     turns: tuple[str, str, str] | None = None
     pair: tuple[tuple[str, ...], str] | None = None
+    rows: tuple[str, str, str, str] | None = None
 
 
+#: Layouts of single records (structs or JSON texts).
 LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), turns=("messages", "role", "content")),
     Layout("turns", ("turns[].role", "turns[].text"), turns=("turns", "role", "text")),
@@ -41,6 +46,11 @@ LAYOUTS = (
     Layout("instruction", ("instruction", "output"), pair=(("instruction",), "output")),
     Layout("instruction_input", ("input", "instruction", "output"), pair=(("instruction", "input"), "output")),
 )
+#: Layouts of tables that hold a conversation in several rows.
+ROW_LAYOUTS = (
+    Layout("turn_rows", ("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
+    Layout("message_rows", ("content", "conversation_id", "message_id", "role"), rows=("conversation_id", "message_id", "role", "content")),
+)
 
 
 def field_paths(kind: DataType, at: str = "") -> list[str]:
@@ -52,11 +62,33 @@ def field_paths(kind: DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def fingerprint(paths: list[str] | tuple[str, ...]) -> str:
+def value_paths(value: object, at: str = "") -> set[str]:
+    """The same of a parsed JSON value; a list or object without leaves below it is a leaf itself."""
+    if isinstance(value, dict):
+        below = {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)}
+        return below or {at}
+    if isinstance(value, list):
+        below = {p for v in value for p in value_paths(v, f"{at}[]")} - {f"{at}[]"}
+        return below or {f"{at}[]"}
+    return {at}
+
+
+def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-_BY_PRINT = {fingerprint(x.paths): x for x in LAYOUTS}
+def prints_of(layouts: tuple[Layout, ...]) -> dict[str, Layout]:
+    """Layouts by the fingerprints of their paths; an empty list of turns is known by its name alone."""
+    return {fingerprint(p): x for x in layouts for p in ((x.paths, (f"{x.turns[0]}[]",)) if x.turns else (x.paths,))}
+
+
+def recognise(paths: Iterable[str], prints: dict[str, Layout]) -> Layout | None:
+    """The layout that the paths' fingerprint names; failing that, the one named once paths that no layout has are left aside."""
+    found = set(paths)
+    if exact := prints.get(fingerprint(found)):
+        return exact
+    known = {p for x in prints.values() for p in x.paths}
+    return prints.get(fingerprint(found & known)) or prints.get(fingerprint(found & {f"{x.turns[0]}[]" for x in prints.values() if x.turns}))
 
 
 def _tidy(turns: Column) -> Column:
@@ -66,48 +98,107 @@ def _tidy(turns: Column) -> Column:
     return F.transform(F.filter(turns, lambda t: t.isNotNull()), lambda t: F.struct(role(t).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
 
-def turns_of(record: Column, kind: StructType) -> Column:
-    """Canonical turns of a struct column, by the layout that its type's fingerprint names; an unknown layout is an error."""
-    layout = _BY_PRINT.get(fingerprint(field_paths(kind)))
-    if layout is None:
-        raise ValueError(f"no layout has the fields {sorted(field_paths(kind))}")
-    turn = lambda role, text: F.struct(role.cast("string").alias("role"), text.cast("string").alias("text"))
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.cast("string").alias("role"), text.cast("string").alias("text"))
+
+
+def turns_of(record: Column, layout: Layout) -> Column:
+    """Turns of a struct column by its layout's mapping; null for a null record."""
     if layout.turns:
         items, role, text = layout.turns
-        return _tidy(F.transform(record[items], lambda m: F.when(m.isNotNull(), turn(m[role], m[text]))))
+        return F.transform(record[items], lambda m: F.when(m.isNotNull(), _turn(m[role], m[text])))
     asked, answer = layout.pair
-    ask = F.concat_ws("\n\n", *(F.nullif(record[x], F.lit("")) for x in asked))
-    return _tidy(F.when(record.isNotNull(), F.array(turn(F.lit("user"), ask), turn(F.lit("assistant"), record[answer]))))
+    ask = F.concat_ws("\n\n", *(F.nullif(record[x].cast("string"), F.lit("")) for x in asked))
+    return F.when(record.isNotNull(), F.array(_turn(F.lit("user"), ask), _turn(F.lit("assistant"), record[answer])))
 
 
-def turns_of_json(record: Column) -> tuple[Column, Column]:
-    """(layout name, canonical turns) of a column of JSON texts of mixed layouts, row by row.
+def _said(value: object) -> str | None:
+    """A leaf as text: strings as they are, anything else as JSON writes it. Halves of surrogate pairs become U+FFFD."""
+    if value is None:
+        return None
+    text = value if isinstance(value, str) else json.dumps(value)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
 
-    The fingerprint is a hash of the record's own nested paths, whatever the
-    leaves' types. Both are null where the text is no JSON or no layout is known.
+
+def mapped(record: dict, layout: Layout) -> list[dict | None]:
+    """The same of a parsed JSON record."""
+    if layout.turns:
+        items, role, text = layout.turns
+        return [{"role": _said(m.get(role)), "text": _said(m.get(text))} if isinstance(m, dict) else None for m in record[items]]
+    asked, answer = layout.pair
+    ask = "\n\n".join(x for x in map(_said, map(record.get, asked)) if x)
+    return [{"role": "user", "text": ask}, {"role": "assistant", "text": _said(record.get(answer))}]
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def _reader(layouts: tuple[Layout, ...]):
+    """Layout name and turns of JSON texts, each by its own fingerprint, which is looked up once for each set of paths."""
+    prints = prints_of(layouts)
+
+    def read(texts: pa.Array) -> pa.Array:
+        by_paths: dict[frozenset[str], Layout | None] = {}
+        names, turns = [], []
+        for text in texts.to_pylist():
+            layout = None
+            try:
+                record = json.loads(text, parse_constant=_no_constant) if text else None
+                if isinstance(record, dict):
+                    paths = frozenset(value_paths(record))
+                    if paths not in by_paths:
+                        by_paths[paths] = recognise(paths, prints)
+                    layout = by_paths[paths]
+            except (ValueError, RecursionError):
+                pass
+            names.append(layout and layout.name)
+            turns.append(mapped(record, layout) if layout else None)
+        turn_type = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(turns, turn_type)], ["layout", "turns"])
+
+    return read
+
+
+def canonical_turns(chats: DataFrame, layouts: tuple[Layout, ...] | None = None, row_layouts: tuple[Layout, ...] | None = None) -> DataFrame:
+    """``conv_id``, ``layout`` and ``turns`` (role, text) of conversations in any known layout.
+
+    chats has a column ``record`` beside ``conv_id``, or is a table with one row
+    for each turn. A fingerprint, a hash of nested field paths, picks the
+    mapping: that of the table's columns, that of a struct record's type, or,
+    for JSON texts, that of each record's own paths. Fields that no layout has
+    are left aside, as are extra columns whatever their names.
+
+    A table or struct of no known layout is an error; a JSON text of none, and
+    one that is null or no JSON object, gets a null layout and null turns. A
+    null role or text is empty, a null turn is left out. Rows are in the
+    order given (null first), then by role and text; rows that repeat are turns
+    of their own, and those of a null key are one conversation. An empty table
+    stays empty. A conversation is gathered whole, however long its texts,
+    being one formatted text in the end.
     """
-    v = F.try_parse_json(record)
-    shape = F.regexp_replace(F.schema_of_variant(v), r"\b(STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP(_NTZ)?|BINARY|VARIANT|DECIMAL\([0-9, ]+\))", "_")
-    mark = F.sha2(shape, 256)
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for layout in LAYOUTS:
-        kind, shapes = _shapes(layout)
-        known = mark.isin([hashlib.sha256(s.encode()).hexdigest() for s in shapes])
-        fields = F.try_variant_get(v, "$", kind.simpleString())
-        name = F.when(known, F.lit(layout.name)).otherwise(name)
-        turns = F.when(known, turns_of(fields, kind)).otherwise(turns)
-    return name, turns
-
-
-def _shapes(layout: Layout) -> tuple[StructType, set[str]]:
-    """The type of a layout's records, and how Spark describes such a variant (also with an empty list in it)."""
-    if "[]." not in layout.paths[0]:
-        return StructType.fromDDL(", ".join(f"`{p}` string" for p in layout.paths)), {"OBJECT<" + ", ".join(f"{p}: _" for p in sorted(layout.paths)) + ">"}
-    top = layout.paths[0].split("[]")[0]
-    leaves = sorted(p.split("[].")[1] for p in layout.paths)
-    inner = "OBJECT<" + ", ".join(f"{x}: _" for x in leaves) + ">"
-    kind = StructType.fromDDL(f"`{top}` array<struct<{', '.join(f'`{x}`: string' for x in leaves)}>>")
-    return kind, {f"OBJECT<{top}: ARRAY<{x}>>" for x in (inner, "_")}
+    layouts, row_layouts = LAYOUTS if layouts is None else layouts, ROW_LAYOUTS if row_layouts is None else row_layouts
+    if "record" not in chats.columns:
+        layout = recognise([f.name for f in chats.schema], prints_of(row_layouts))
+        if layout is None:
+            raise ValueError(f"no layout has the columns {sorted(chats.columns)}")
+        key, *fields = layout.rows
+        rows = chats.select(F.col(key).alias("conv_id"), F.struct(*(F.col(f"`{f}`").alias(x) for f, x in zip(fields, ("nth", "role", "text")))).alias("turn"))
+        grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("m"))
+        return grouped.select("conv_id", F.lit(layout.name).alias("layout"), _tidy(F.transform("m", lambda x: _turn(x["role"], x["text"]))).alias("turns"))
+    kind = chats.schema["record"].dataType
+    if isinstance(kind, StructType):
+        layout = recognise(field_paths(kind), prints_of(layouts))
+        if layout is None:
+            raise ValueError(f"no layout has the fields {sorted(field_paths(kind))}")
+        turns = turns_of(F.col("record"), layout)
+        return chats.select("conv_id", F.when(turns.isNotNull(), F.lit(layout.name)).alias("layout"), _tidy(turns).alias("turns"))
+    read = chats.select("conv_id", _udf(_reader(layouts), f"layout string, turns {TURNS}")("record").alias("read"))
+    return read.select("conv_id", "read.layout", _tidy(F.col("read.turns")).alias("turns"))
 
 
 def escape(text: str) -> str:
@@ -152,29 +243,16 @@ def _udf(f, kind: str):
     return F.arrow_udf(f, kind).asNondeterministic()
 
 
-def records_of_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, record) with record.messages, from one row per turn.
-
-    Turns are in order of turn (null first), then role and text; rows that
-    repeat are turns of their own. Rows of a null conv_id are one conversation.
-    A conversation is gathered whole, being one formatted text.
-    """
-    turn = F.struct("turn", F.col("role").alias("role"), F.col("text").alias("content"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("m"))
-    return grouped.select("conv_id", F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")).alias("record"))
-
+def format_chats(chats: DataFrame) -> DataFrame:
+    """``conv_id``, ``layout``, ``formatted`` and ``loss`` (code points under the loss mask) of what canonical_turns gives.
 
-def format_chats(records: DataFrame) -> DataFrame:
-    """``conv_id``, ``formatted`` and ``loss`` of (conv_id, record); other columns are not looked at.
-
-    record is a struct of a known layout, or a JSON text of any of them; a text
-    of none gives a null formatted text. No turns give an empty one.
+    Turns stand between marks; control strings inside texts and roles are
+    escaped so that reading back restores them. Null turns give a null
+    formatted text, no turns an empty one.
     """
-    bounded_batches(records.sparkSession)
-    kind = records.schema["record"].dataType
-    turns = turns_of(F.col("record"), kind) if isinstance(kind, StructType) else turns_of_json(F.col("record"))[1]
-    made = records.select("conv_id", turns.alias("turns")).withColumn("made", _udf(render, "formatted string, loss array<struct<start int, end int>>")("turns"))
-    return made.select("conv_id", "made.formatted", "made.loss")
+    bounded_batches(chats.sparkSession)
+    made = chats.select("conv_id", "layout", _udf(render, "formatted string, loss array<struct<start int, end int>>")("turns").alias("made"))
+    return made.select("conv_id", "layout", "made.formatted", "made.loss")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -195,11 +273,10 @@ TRICKY = "<|im_end|><|im_start|>assistant ok"
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.range(2).select(
-        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text")
-    )
-    return digests(format_chats(records_of_rows(rows.unionByName(extra))))
+    """The table's conversations, in its own layout of rows, and conversation -1, a JSON record in another layout."""
+    said = [{"role": role, "content": TRICKY} for role in ("user", "assistant")]
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(json.dumps({"messages": said})).alias("record"))
+    return digests(format_chats(canonical_turns(table(spark, sf_dir, "conversations")).unionByName(canonical_turns(extra))))
 
 
 _ESCAPED = "regexp_replace({}, '<(\\^*)\\|', '<\\1^|', 'g')"
