@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,104 +16,106 @@ REST = 4
 BLOCK_ROWS = 64
 SEED = "mix-1"
 BUCKETS = 4096  # of the order within a source
-MOST_POOLS, LONGEST_PERIOD = 64, 1000
 
 
 def period_schedule(spark: SparkSession, weights: list[int]) -> DataFrame:
-    """Earliest-deadline-first over one period of sum(weights) slots: (slot, pool, nth, before).
+    """Earliest-deadline-first over one period of sum(weights) slots: (slot, pool, nth).
 
     Block j of a pool of weight w may run from slot floor(j * L / w) and must
     have run by slot ceil((j + 1) * L / w), L being the period. nth is the
-    block's number within the period, before each pool's blocks in earlier
-    slots. Bounded by the weights given, whatever the data.
+    block's number within the period. Bounded by the weights given, whatever
+    the data; made slot by slot in one task.
     """
     period = sum(weights)
     w = F.array(*map(F.lit, weights))
 
     def step(state: Column, t: Column) -> Column:
-        done = state["done"]
-        due = F.filter(
-            F.transform(done, lambda j, p: F.struct(
-                F.ceil((j + 1) * period / F.get(w, p)).cast("int").alias("deadline"),
-                p.alias("pool"),
-                ((j < F.get(w, p)) & (F.floor(j * period / F.get(w, p)) <= t)).alias("free"),
-            )),
-            lambda x: x["free"],
-        )
+        due = F.transform(state["done"], lambda j, p: F.when(
+            (j < F.get(w, p)) & (F.floor(j * period / F.get(w, p)) <= t),
+            F.struct(F.ceil((j + 1) * period / F.get(w, p)).cast("int").alias("deadline"), p.alias("pool")),
+        ))
         pick = F.array_min(due)["pool"]
         return F.struct(
-            F.transform(done, lambda j, p: j + (p == pick).cast("int")).alias("done"),
-            F.concat(state["out"], F.array(F.struct(pick.alias("pool"), done.alias("before")))).alias("out"),
+            F.transform(state["done"], lambda j, p: j + (p == pick).cast("int")).alias("done"), F.concat(state["out"], F.array(pick)).alias("out")
         )
 
-    zero = F.struct(
-        F.array(*[F.lit(0)] * len(weights)).alias("done"),
-        F.expr("cast(array() as array<struct<pool int, before array<int>>>)").alias("out"),
-    )
+    zero = F.struct(F.array(*[F.lit(0)] * len(weights)).alias("done"), F.expr("cast(array() as array<int>)").alias("out"))
     one = spark.range(1).select(F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), zero, step, lambda s: s["out"]).alias("out"))
-    slots = one.select(F.posexplode("out").alias("slot", "x"))
-    return slots.select("slot", F.col("x.pool").alias("pool"), F.get("x.before", F.col("x.pool")).alias("nth"), F.col("x.before").alias("before"))
+    slots = one.select(F.posexplode("out").alias("slot", "pool"))
+    return slots.withColumn("nth", F.row_number().over(Window.partitionBy("pool").orderBy("slot")) - 1)
 
 
 def mix_positions(docs: DataFrame, weights: dict[str, int], rest: int, block_rows: int = BLOCK_ROWS, seed: str = SEED) -> DataFrame:
-    """``row`` (every input column), ``pool``, ``block``, ``slot`` and ``mix_pos`` (0 to rows - 1) for each input row.
+    """``row`` (every input column), ``pool``, ``block``, ``slot`` and ``mix_pos`` (0 to rows - 1) for each input row, laid out in order of mix_pos.
 
     Rows of a source, in an order drawn from a hash of doc_id, fill blocks of
     block_rows rows; the blocks of all sources are interleaved so that at any
     slot a source has run less than one block more or less than its weight's
     share. Sources not named, and null ones, form one pool '*' of weight rest.
+    There may be any number of sources, of any positive integer weights.
     Every row stays: once a source is used up its slots stay empty and the
     others keep their order. Rows that tie in the order (the same doc_id) are
-    ordered by a hash of text; equal rows are interchangeable. An empty table
-    gives no rows.
+    ordered by an MD5 of text, null first; rows that tie there too are
+    interchangeable. Texts of any length pass whole, as do columns whatever
+    their names. An empty table gives no rows.
 
     Ranks within a source come from BUCKETS ranges of the hash: each range is
     ranked by its own task, and starts where the counts of those before it
     end. So a source that holds a third of all rows never meets in one task.
+    Then rounds (one period of the schedule, sum of weights times block_rows
+    rows at most) are dealt to partitions by the number of rows before them,
+    which the totals of the sources tell, and each is put in order by its task.
     """
-    if not 0 < len(weights) + 1 <= MOST_POOLS or min([*weights.values(), rest]) < 1 or sum(weights.values()) + rest > LONGEST_PERIOD:
-        raise ValueError(f"weights must be positive integers for fewer than {MOST_POOLS} sources, adding up to {LONGEST_PERIOD} at most")
+    if min([*weights.values(), rest]) < 1:
+        raise ValueError("weights must be positive integers")
     spark = docs.sparkSession
     names, shares = [*weights, "*"], [*weights.values(), rest]
+    shares = [x // math.gcd(*shares) for x in shares]  # the same schedule in the shortest period
     period, w = sum(shares), F.array(*map(F.lit, shares))
     listed = F.create_map(*(x for i, k in enumerate(weights) for x in (F.lit(k), F.lit(i)))) if weights else None
     pool = F.coalesce(F.try_element_at(listed, F.col("source")), F.lit(len(weights))) if weights else F.lit(0)
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = docs.select(F.struct("*").alias("row"), pool.alias("pool"), digest.alias("digest"))
-    bucket = F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")
+    bucket = F.conv(F.substring("digest", 1, 3), 16, 10).cast("int").alias("bucket")
+    keyed = docs.select(F.struct("*").alias("row"), pool.alias("pool"), digest.alias("digest"), F.md5("text").alias("tie")).select("*", bucket)
 
-    counts = docs.select(pool.alias("pool"), digest.alias("digest")).groupBy("pool", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(pool.alias("pool"), digest.alias("digest")).select("pool", bucket).groupBy("pool", "bucket").agg(F.count(F.lit(1)).alias("n"))
     so_far = Window.partitionBy("pool").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("pool", "bucket", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("start"))
     sums = counts.groupBy("pool").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("pool", "n"))).alias("m"))
     totals = sums.select(F.array(*(F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0)) for i in range(len(names)))).alias("totals")).scalar()
 
-    order = Window.partitionBy("pool", "bucket").orderBy("digest", "row.doc_id", F.xxhash64("row.text"))
-    ranked = keyed.withColumn("bucket", bucket).withColumn("nth_in_bucket", F.row_number().over(order) - 1)
+    order = Window.partitionBy("pool", "bucket").orderBy("digest", "row.doc_id", F.asc_nulls_first("tie"))
+    ranked = keyed.withColumn("nth_in_bucket", F.row_number().over(order) - 1)
     placed = ranked.join(starts, ["pool", "bucket"]).select(
         "row", "pool", F.expr(f"(start + nth_in_bucket) div {block_rows}").alias("block"), F.expr(f"(start + nth_in_bucket) % {block_rows}").alias("within")
     ).withColumns({"share": F.get(w, F.col("pool"))}).withColumns({"round": F.expr("block div share"), "nth": F.expr("cast(block % share as int)")})
     timed = placed.join(F.broadcast(period_schedule(spark, shares)), ["pool", "nth"]).withColumn("totals", totals)
-    earlier = F.transform("before", lambda b, p: F.least(F.get("totals", p), (F.col("round") * F.get(w, p) + b) * block_rows))
-    return timed.select(
+    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+    begins = add(F.transform("totals", lambda n, p: F.least(n, F.col("round") * F.get(w, p) * block_rows)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = timed.withColumn("begins", begins).withColumn("part", F.expr(f"cast(begins * {parts} div aggregate(totals, 0L, (a, n) -> a + n) as int)"))
+    in_round = Window.partitionBy("part", "round").orderBy("slot", "within")
+    ordered = dealt.drop("totals", "share", "nth").repartitionById(parts, "part").sortWithinPartitions("part", "round", "slot", "within")
+    laid = ordered.withColumn("nth_in_round", F.row_number().over(in_round) - 1)
+    return laid.select(
         "row",
         F.get(F.array(*map(F.lit, names)), F.col("pool")).alias("pool"),
         "block",
         (F.col("round") * period + F.col("slot")).alias("slot"),
-        (F.aggregate(earlier, F.lit(0).cast("long"), lambda a, x: a + x) + F.col("within")).alias("mix_pos"),
+        (F.col("begins") + F.col("nth_in_round")).alias("mix_pos"),
     )
 
 
 def mix(docs: DataFrame, weights: dict[str, int], rest: int, block_rows: int = BLOCK_ROWS, seed: str = SEED) -> DataFrame:
-    """docs in mixed order: written out, its files in name order and their rows hold the interleaved sequence."""
+    """docs in mixed order: written out, its files in name order and their rows hold the interleaved sequence of mix_positions."""
     mixed = mix_positions(docs, weights, rest, block_rows, seed)
-    laid = mixed.select("row", "mix_pos").repartitionByRange("mix_pos").sortWithinPartitions("mix_pos")
-    return laid.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return mixed.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(None).cast("string").alias("text"))
-    return mix_positions(docs, WEIGHTS, REST).select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "pool", "block", "slot", "mix_pos")
+    """Whole rows, interleaved; of the text the output holds its digest."""
+    mixed = mix_positions(table(spark, sf_dir, "documents"), WEIGHTS, REST)
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "pool", "block", "slot", "mix_pos", F.md5("row.text").alias("text_md5"))
 
 
 _NAMES, _SHARES = [*WEIGHTS, "*"], [*WEIGHTS.values(), REST]
@@ -132,8 +136,9 @@ SQL = f"""
         FROM s a JOIN s b ON b.t = a.t + 1
     ),
     ranked AS (
-        SELECT doc_id, source, coalesce(list_position(names[:-2], source), len(names)) AS pool,
-               row_number() OVER (PARTITION BY coalesce(list_position(names[:-2], source), len(names)) ORDER BY md5('{SEED}|' || doc_id), doc_id) - 1 AS nth
+        SELECT doc_id, source, md5(text) AS text_md5, coalesce(list_position(names[:-2], source), len(names)) AS pool,
+               row_number() OVER (PARTITION BY coalesce(list_position(names[:-2], source), len(names))
+                                  ORDER BY md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, md5(text) NULLS FIRST) - 1 AS nth
         FROM documents, conf
     ),
     sizes AS (SELECT pool, count(*) AS n FROM ranked GROUP BY pool),
@@ -141,6 +146,6 @@ SQL = f"""
     totals AS (SELECT list_transform(names, lambda x, i: coalesce(m[i], 0)) AS totals FROM conf, counted),
     placed AS (SELECT r.*, nth // {BLOCK_ROWS} AS block, (nth // {BLOCK_ROWS}) // w[pool] AS round, (nth // {BLOCK_ROWS}) % w[pool] AS k FROM ranked r, conf)
     SELECT doc_id, source, names[p.pool] AS pool, block, round * period + slot AS slot,
-           CAST(list_sum(list_transform(before, lambda b, i: least(totals[i], (round * w[i] + b) * {BLOCK_ROWS}))) + nth % {BLOCK_ROWS} AS BIGINT) AS mix_pos
+           CAST(list_sum(list_transform(before, lambda b, i: least(totals[i], (round * w[i] + b) * {BLOCK_ROWS}))) + nth % {BLOCK_ROWS} AS BIGINT) AS mix_pos, text_md5
     FROM placed p JOIN slots x ON p.pool = x.pool AND p.k = x.before[x.pool], conf, totals
 """
