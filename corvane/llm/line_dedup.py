@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import table
+from corvane.llm.common import table, written
 
 WINDOW = 3
+CHUNK_BITS, LEAST_BITS, MOST_BITS = 15, 20, 29  # powers of two: bits of one bitmap, and of all of them (64 MB at most)
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -41,6 +44,19 @@ def _removals(docs: DataFrame) -> DataFrame:
     return ranked.groupBy("id", "twin").agg(gone.alias("gone")).where(F.size("gone") > 0)
 
 
+def _marks(removals: DataFrame, place: Column) -> DataFrame:
+    """Bitmaps (chunk, bits) of the places of the documents that lose lines."""
+    chunk, bit = F.shiftright(place, CHUNK_BITS).alias("chunk"), place.bitwiseAND((1 << CHUNK_BITS) - 1)
+    return removals.groupBy(chunk).agg(F.bitmap_construct_agg(bit).alias("bits"))
+
+
+def _is_marked(place: Column) -> Column:
+    """Whether the place's bit is set in its bitmap."""
+    byte = F.substring("bits", F.shiftright(place.bitwiseAND((1 << CHUNK_BITS) - 1), 3).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    return F.coalesce(value.bitwiseAND(F.pow(F.lit(2), place.bitwiseAND(7)).cast("int")) > 0, F.lit(False))
+
+
 def mark_repeated_lines(docs: DataFrame) -> DataFrame:
     """``row`` (every input column), ``n_lines``, ``n_removed`` and ``kept_text`` for each input row.
 
@@ -55,35 +71,44 @@ def mark_repeated_lines(docs: DataFrame) -> DataFrame:
     than three lines have no window and stay as they are, as do empty and null
     ones (0 lines for null). Rows of one doc_id are the same document: none is
     later than another, and windows of a row that is there twice stay whole
-    where they come first. A null doc_id comes after all others.
+    where they come first. A null doc_id comes after all others. Texts of any
+    length are taken whole; an empty table stays empty, and other columns pass
+    in ``row`` whatever their names.
 
     Only (document, line number, hash) is shuffled to find repetitions, counted
-    before the shuffle; the texts are shuffled once, to meet their removals. A
-    very common window spreads over tasks in the join, which Spark splits.
+    before the shuffle. A very common window spreads over tasks in the join,
+    which Spark splits. Texts that lose lines are shuffled once, to meet their
+    removals, and with them the few others that bitmaps of bounded size (16 bits
+    for each such document, 64 MB at most) can't tell from them; the rest pass
+    by. Beyond some 10^8 such documents the bitmaps let more and more through:
+    results stay the same.
     """
-    removals = _removals(docs)
+    removals, _ = written(_removals(docs), "removals")
+    wanted = 16 * max(1, removals.count())
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(wanted))))
+    place = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(size))
+    marks = _marks(removals, place("id", "twin"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_twin"))
-    met = rows.join(removals, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_twin") == F.col("twin")), "left")
-    cut = met.select("row", "gone", F.split("row.text", "\n", -1).alias("lines"))
+    placed = rows.withColumn("place", place("own_id", "own_twin"))
+    met = placed.join(F.broadcast(marks), F.shiftright("place", CHUNK_BITS) == F.col("chunk"), "left").select(*rows.columns, _is_marked(F.col("place")).alias("marked"))
+    may = met.where("marked").join(removals, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_twin") == F.col("twin")), "left").select("row", "gone")
+    rest = met.where("NOT marked").select("row", F.lit(None).cast("array<int>").alias("gone"))
+    cut = may.unionByName(rest).select("row", "gone", F.split("row.text", "\n", -1).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     return cut.select(
         "row",
-        F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines_raw"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed_raw"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         text.alias("kept_text"),
-    ).select(
-        "row",
-        F.greatest(F.col("n_lines_raw"), F.lit(0)).cast("long").alias("n_lines"),
-        F.greatest(F.col("n_removed_raw"), F.lit(0)).cast("long").alias("n_removed"),
-        "kept_text",
     )
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated lines taken out of text, all other columns as they were (n_chars is counted again if there is one).
 
-    Rows that had text and lose all of it are left out: everything they said stays in another document.
+    Rows that had text and lose all of it are left out: everything they said stays in another document. Null and empty
+    texts, repeated rows and clashing column names are as in mark_repeated_lines.
     """
     marked = mark_repeated_lines(docs).where((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
@@ -100,9 +125,10 @@ SQL = """
     e AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM d),
     w AS (SELECT doc_id, i - 1 AS pos, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS w FROM e),
     g AS (SELECT w, min(doc_id) AS f FROM w GROUP BY w HAVING count(*) > 1),
-    o AS (SELECT doc_id, pos, doc_id > f OR pos > min(pos) OVER (PARTITION BY doc_id, w.w) AS later FROM w JOIN g ON w.w = g.w),
-    c AS (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p, later FROM o),
-    r AS (SELECT doc_id, p FROM c GROUP BY doc_id, p HAVING bool_and(later)),
+    o AS (SELECT doc_id, pos, doc_id > f AS elsewhere, pos > min(pos) OVER (PARTITION BY doc_id, w.w) AS later, pos < max(pos) OVER (PARTITION BY doc_id, w.w) AS again
+          FROM w JOIN g ON w.w = g.w),
+    c AS (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p, elsewhere, later AND NOT elsewhere AS here, NOT later AND NOT elsewhere AND again AS first_here FROM o),
+    r AS (SELECT doc_id, p FROM c GROUP BY doc_id, p HAVING bool_or(elsewhere) OR (bool_or(here) AND NOT bool_or(first_here))),
     x AS (SELECT doc_id, list(p) AS gone FROM r GROUP BY doc_id)
     SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
            CASE WHEN gone IS NULL THEN text
