@@ -94,7 +94,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     non-overlapping matches of each pattern whose measured part is long enough;
     weak kinds are reported only beside complementary parts. Null and empty
     texts have no spans. Rows that repeat get the same spans each; rows of one
-    doc_id with other texts are told apart by a hash of the text.
+    doc_id with other texts are told apart by a hash of the text. Texts of any
+    length are scanned whole; an empty table gives no rows, and other columns
+    aren't looked at, whatever their names.
 
     Texts are read once and never shuffled: a first pattern lets only texts
     with a base match through to the costlier ones, since weak candidates need
@@ -155,7 +157,7 @@ SQL = f"""
     f AS (
         SELECT w.doc_id, w.kind, w.s, w.e, bool_or(p.kind IN (0, 2)) AS secret, bool_or(p.kind = 1) AS access, bool_or(p.kind IN (1, 3)) AS name,
                bool_or(p.kind < 3 AND p.s < w.e AND w.s < p.e) AS inside
-        FROM s w JOIN s p ON w.doc_id = p.doc_id AND w.kind >= 3 AND p.kind < 5 AND abs(p.s - w.s) <= {SCOPE} GROUP BY ALL
+        FROM s w JOIN s p ON w.doc_id = p.doc_id AND w.kind >= 3 AND p.kind < 5 AND p.s - w.e <= {SCOPE} AND w.s - p.e <= {SCOPE} GROUP BY ALL
     ),
     a AS (
         SELECT doc_id, kind, s, e FROM s WHERE kind < 3
