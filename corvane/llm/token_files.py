@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -11,72 +12,101 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm.common import bounded_batches, dropped, new_path, table, written
-from corvane.llm.piece_codec import codec_of, load_model
+from corvane.llm.piece_codec import PieceModel, codec_of, load_model
 from corvane.llm.sentencepiece_op import default_model
 
 END_ID = 2  # </s> of the model used here
 BLOCK_TOKENS = 1 << 19
-_MOST_ID = 0xFFFF
+
+
+def id_bytes(model: PieceModel) -> int:
+    """Bytes of an id in token files: 2 for vocabularies that fit them, else 4."""
+    return 2 if len(model.pieces) <= 1 << 16 else 4
 
 
 def write_token_files(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID) -> None:
-    """Token files of docs' texts: 16-bit little-endian ids, each document followed by end_id, and nothing else.
+    """Token files of docs' texts: little-endian ids of id_bytes bytes, each document followed by end_id, and nothing else.
 
     One file for each of docs' partitions, its rows in their order; a null text
-    has no tokens. Spark's text writer puts the end id after each row, so any
-    store that Spark knows will do; its two bytes must be a text of their own.
+    has no tokens, a text of any length is encoded whole. Spark's text writer
+    puts the end id after each row, so any store that Spark knows will do; its
+    bytes must be a text of their own.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     loaded = load_model(model_path)
-    if len(loaded.pieces) > _MOST_ID or loaded.kinds[end_id] != 3 or (end_id & 0x80 or end_id >> 8 & 0x80):
-        raise ValueError("ids must fit 16 bits, and the end id must be a control id whose bytes are below 128")
+    width = id_bytes(loaded)
+    mark = end_id.to_bytes(width, "little")
+    if loaded.kinds[end_id] != 3 or max(mark) >= 0x80:
+        raise ValueError("the end id must be a control id whose bytes are below 128")
     model = spark.sparkContext.broadcast(loaded)
 
     def tokens(texts: pa.Array) -> pa.Array:
         codec = codec_of(model.value)
-        return pa.array([np.frombuffer(codec.encode(x or ""), np.int32).astype("<u2").tobytes() for x in texts.to_pylist()], pa.binary())
+        return pa.array([np.frombuffer(codec.encode(x or ""), np.int32).astype(f"<u{width}").tobytes() for x in texts.to_pylist()], pa.binary())
 
     ids = F.arrow_udf(tokens, "binary")("text")
-    docs.select(ids.cast("string").alias("value")).write.option("lineSep", chr(end_id & 0xFF) + chr(end_id >> 8)).text(path)
+    docs.select(ids.cast("string").alias("value")).write.option("lineSep", mark.decode("ascii")).text(path)
+
+
+def open_anywhere(path: str) -> BinaryIO:
+    """A file of a local disk, HDFS, S3, GCS or Azure, to be read at any place."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
 
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    store, inside = FileSystem.from_uri(path.replace("s3a:", "s3:", 1))
+    return store.open_input_file(inside)
 
-def _scan(end_id: int):
+
+def _scan(end_id: int, width: int, step: int, opener: Callable[[str], BinaryIO]):
     """For each block: its tokens, and the tokens before each end id counted from the block's start or the end id before it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, path = None, None
         for b in batches:
-            size, ends = [], []
-            for x in b.column("data"):
-                ids = np.frombuffer(x.as_buffer(), "<u2")
-                at = np.flatnonzero(ids == end_id)
-                size.append(len(ids))
-                ends.append(np.diff(at, prepend=-1).astype(np.int32) - 1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("file"), b.column("block"), pa.array(size, pa.int64()), pa.array(ends, pa.list_(pa.int32()))], ["file", "block", "size", "gaps"]
-            )
+            for name, length, block in zip(*(b.column(c).to_pylist() for c in ("path", "length", "block"))):
+                if name != path:
+                    if file:
+                        file.close()
+                    file, path = opener(name), name
+                file.seek(block * step)
+                data = file.read(min(step, length - block * step))
+                if len(data) != min(step, length - block * step):
+                    raise ValueError(f"{name} is shorter than it was listed")
+                ids = np.frombuffer(data, f"<u{width}")
+                gaps = np.diff(np.flatnonzero(ids == end_id), prepend=-1).astype(np.int32) - 1
+                columns = [[name.rsplit("/", 1)[-1]], [block], [len(ids)], [gaps]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["file", "block", "size", "gaps"])
+        if file:
+            file.close()
 
     return scan
 
 
-def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def count_tokens(
+    spark: SparkSession, path: str, end_id: int = END_ID, width: int = 2, block_tokens: int = BLOCK_TOKENS, opener: Callable[[str], BinaryIO] = open_anywhere
+) -> DataFrame:
     """``file``, ``nth`` (from 0) and ``n_tokens`` of each document in the token files below path.
 
-    A file is cut into blocks whatever lies at their edges, each block is
-    searched for the end id by array operations, and a prefix scan over the
+    Spark lists the files; their blocks, cut whatever lies at their edges, are
+    dealt to all tasks, so files may be of any size. Each task reads only its
+    blocks, by opener(path) (other stores than open_anywhere's need their own),
+    and searches them for the end id by array operations. A prefix scan over the
     blocks of a file stitches documents that cross edges, however many: what a
     block carries in is all tokens since the last end id before it. The end id
     itself doesn't count. Tokens after a file's last end id are a document of
-    their own; documents of no tokens count as such. An empty file has none.
-    An odd number of bytes is an error. Files are read whole by Spark's binary
-    source, so each must be under 2 GB.
+    their own; documents of no tokens count as such. An empty file has none, an
+    empty folder gives no rows. A number of bytes that isn't a multiple of width
+    is an error, as is a file that got shorter after it was listed.
     """
     bounded_batches(spark)
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content", "length").where("length > 0")
-    step = 2 * block_tokens
-    cut = files.select("file", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {step}"))).alias("block"))
-    blocks = cut.select("file", "block", F.substring("content", (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("data"))
-    scanned, scan_path = written(blocks.mapInArrow(_scan(end_id), "file string, block long, size long, gaps array<int>"), "token-blocks")
+    step = width * block_tokens
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    blocks = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {step}"))).alias("block"))
+    dealt = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "block")
+    scanned, scan_path = written(dealt.mapInArrow(_scan(end_id, width, step, opener), "file string, block long, size long, gaps array<int>"), "token-blocks")
     # Prefix scan: tokens before a block, end ids before it, and where the last of those was.
     until = F.aggregate("gaps", F.lit(0).cast("long"), lambda a, g: a + g + 1)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,16 +132,28 @@ def document_tokens(docs: DataFrame, model_path: str) -> DataFrame:
 
     Writes token files to the shared folder and counts what is in them. They
     hold no index; a row's place is known from the scan, whose partitions and
-    their order are the same each time.
+    their order are the same each time. That both scans have the same number of
+    rows in every partition is checked, so a folder that changes is an error.
+    Null and empty texts have no tokens; rows that repeat are counted each;
+    texts of any length are taken whole; an empty table stays empty; columns
+    other than doc_id and text aren't looked at, whatever their names.
     """
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write_token_files(docs, path, model_path)
-    counted = count_tokens(spark, path)
+    counted = count_tokens(spark, path, width=id_bytes(load_model(model_path)))
     dropped(spark, path)
+    return placed_counts(docs, counted)
+
+
+def placed_counts(docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """doc_id and n_tokens of each row of docs, by its place in the scan that the token files were written from."""
     place = F.monotonically_increasing_id()
     rows = docs.select("doc_id", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("nth"))
     found = counted.select(F.regexp_extract("file", r"^part-(\d+)", 1).cast("long").alias("part"), "nth", "n_tokens")
+    sizes = [x.groupBy("part").agg(F.count(F.lit(1)).alias(f"n_{i}")) for i, x in enumerate((rows, found))]
+    if not sizes[0].join(sizes[1], "part", "full").where(~F.col("n_0").eqNullSafe(F.col("n_1"))).isEmpty():
+        raise RuntimeError("the table has changed since its token files were written")
     joined = rows.join(found, ["part", "nth"], "left")
     return joined.select("doc_id", F.coalesce("n_tokens", F.raise_error(F.lit("a row has no document in the token files")).cast("long")).alias("n_tokens"))
 

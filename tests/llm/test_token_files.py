@@ -7,7 +7,7 @@ import sentencepiece
 from oracle import SF
 
 from corvane.llm.sentencepiece_op import default_model
-from corvane.llm.token_files import END_ID, count_tokens, document_tokens, op7_token_counts, write_token_files
+from corvane.llm.token_files import END_ID, count_tokens, document_tokens, op7_token_counts, placed_counts, write_token_files
 
 LIB = sentencepiece.SentencePieceProcessor(model_file=default_model())
 
@@ -44,6 +44,49 @@ def test_blocks_are_stitched(spark, tmp_path, block):
     assert counts(spark, tmp_path, block_tokens=block) == want
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_files_larger_than_memory_are_read_in_parts(spark, tmp_path, width):
+    ends, tokens = [5, 700_000, (1 << 30) + 3], (1 << 30) + 500_000
+    with open(f"{tmp_path}/part-00000 big", "wb") as f:  # sparse: only its end ids take room on the disk
+        for e in ends:
+            f.seek(e * width)
+            f.write(END_ID.to_bytes(width, "little"))
+        f.truncate(tokens * width)
+    got = counts(spark, tmp_path, width=width, block_tokens=1 << 22)
+    assert got == {"part-00000 big": [5, 700_000 - 6, (1 << 30) + 3 - 700_001, tokens - (1 << 30) - 4]}
+
+
+def test_blocks_go_to_many_tasks(spark, tmp_path):
+    Path(tmp_path, "part-0.bin").write_bytes(np.full(1000, 7, "<u2").tobytes())
+    seen = spark.read.parquet(written_blocks(spark, tmp_path)).selectExpr("input_file_name() AS f").distinct().count()
+    assert seen > 1
+
+
+def written_blocks(spark, path):
+    from corvane.llm import common, token_files
+
+    kept = []
+    real = token_files.dropped
+    token_files.dropped = lambda spark, *paths: kept.extend(paths)
+    try:
+        assert sum(r.n_tokens for r in count_tokens(spark, str(path), block_tokens=10).collect()) == 1000
+    finally:
+        token_files.dropped = real
+    return next(p for p in kept if "token-blocks" in p and p in common._MADE)
+
+
+def test_a_table_that_changes_is_an_error(spark, tmp_path):
+    rows = [(i, "some text", "x") for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, nth string").coalesce(1).write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame(rows[:4], "doc_id long, text string, nth string").coalesce(1).write.parquet(f"{tmp_path}/b")
+    a, b = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b")
+    write_token_files(a, f"{tmp_path}/t", default_model())
+    counted = count_tokens(spark, f"{tmp_path}/t")
+    assert placed_counts(a, counted).count() == 5
+    with pytest.raises(RuntimeError):
+        placed_counts(b, counted)
+
+
 def test_odd_number_of_bytes_is_an_error(spark, tmp_path):
     Path(tmp_path, "part-0.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="multiple of element size"):
