@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import bounded_batches, table, written
+from corvane.llm.common import bounded_batches, dropped, table, written
 from corvane.llm.vectors import finite, matrix, nearest, squares
 
 K, SCALE, EVERY = 5, 256, 50
 SAMPLE = 4096  # rows that the top level is fitted on, and that first bounds come from
-TOP_NODES = 64
-QUERY_TILE, DATA_TILE, LEAF, FAN = 2048, 8192, 64, 32
-_LEAST = -np.inf
+LEAST_NODES, MOST_NODES = 32, 1024  # of the top level, growing with the data in between
+QUERY_TILE, LEAST_TILE, DATA_TILE = 16384, 1024, 8192
+LEAF, FAN = 64, 64
+ENOUGH = 0.9  # share of a node pair's products left by its children's bounds from which the pair is computed as it is
+CELLS = 1 << 21  # products computed at once
+_SLACK = 1e-6  # for rounding in angles
 _LAST = (1 << 63) - 1
+_KEY_BYTES = 48  # of scores as sortable bytes
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -36,70 +40,139 @@ def net(points: np.ndarray, most: int, radius: float) -> np.ndarray:
 
 
 @dataclass
-class Node:
+class Nodes:
+    """What bounds need of some nodes: centre, covering radius, covering angle about the centre, least and greatest norm."""
+
     centre: np.ndarray
-    norm: float
-    radius: float
+    radius: np.ndarray
+    angle: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def __getitem__(self, at: np.ndarray) -> Nodes:
+        return Nodes(*(getattr(self, f)[at] for f in ("centre", "radius", "angle", "low", "high")))
+
+
+def angles(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Angles of points to a centre (one, or one for each); zero vectors have none to anything."""
+    size = np.linalg.norm(points, axis=-1) * np.linalg.norm(centre, axis=-1)
+    return np.where(size > 0, np.arccos(np.clip((points * centre).sum(-1) / np.where(size > 0, size, 1), -1, 1)), 0)
+
+
+def covering(points: np.ndarray) -> Nodes:
+    """One node about the mean of points, which covers them more closely than a member does."""
+    norm, centre = np.linalg.norm(points, axis=1), points.mean(0)
+    radius = np.sqrt(((points - centre) ** 2).sum(1).max(keepdims=True))
+    return Nodes(centre[None], radius, angles(points, centre).max(keepdims=True), norm.min(keepdims=True), norm.max(keepdims=True))
+
+
+def most_possible(a: Nodes, b: Nodes) -> np.ndarray:
+    """No inner product of a member of a node of a with one of a node of b is greater: the lesser of the bounds by radii and by angles."""
+    dot, size_a, size_b = a.centre @ b.centre.T, np.linalg.norm(a.centre, axis=1)[:, None], np.linalg.norm(b.centre, axis=1)
+    ball = dot + size_a * b.radius + a.radius[:, None] * size_b + a.radius[:, None] * b.radius
+    between = np.arccos(np.clip(dot / np.maximum(size_a * size_b, 1e-300), -1, 1))
+    close = np.cos(np.clip(between - a.angle[:, None] - b.angle - 3 * _SLACK, 0, np.pi))
+    close[(size_a == 0) | (size_b == 0) & np.ones_like(close, bool)] = 1  # a zero centre points nowhere
+    cone = np.where(close > 0, a.high[:, None] * b.high, a.low[:, None] * b.low) * close
+    return np.minimum(ball, cone) + 1e-9 * a.high[:, None] * b.high
+
+
+@dataclass
+class Tree:
     rows: np.ndarray
-    children: list[Node]
+    children: list[Tree]
+    bounds: Nodes | None  # of the children
 
 
-def cover_tree(points: np.ndarray, rows: np.ndarray) -> Node:
-    """Nested nets: children of a node are centred half its radius apart, FAN at most; radii are the true ones."""
+def cover_tree(points: np.ndarray, rows: np.ndarray) -> Tree:
+    """Nested nets: children of a node are picked half its radius apart, FAN at most; radii and angles are the true ones about their means."""
     own = points[rows]
-    centre = own[0]
     radius = float(np.sqrt(squares(own, own[:1]).max()))
-    node = Node(centre, float(np.linalg.norm(centre)), radius, rows, [])
-    if len(rows) > LEAF and radius > 0:
-        picked = net(own, FAN, radius / 2)
-        group = nearest(own, own[picked])
-        node.children = [cover_tree(points, rows[np.concatenate([[p], np.setdiff1d(np.flatnonzero(group == i), [p])])]) for i, p in enumerate(picked) if (group == i).any()]
-        if len(node.children) == 1:  # rounding can leave all with one centre
-            node.children = []
-    return node
-
-
-def most_possible(a: Node, b: Node) -> float:
-    """No inner product of a member of a with one of b is greater."""
-    exact = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
-    return exact + 1e-9 * (a.norm + a.radius) * (b.norm + b.radius)
-
-
-def _scores(q: np.ndarray, d: np.ndarray, exact: bool) -> np.ndarray:
-    if exact:
-        return q @ d.T
-    # Products beyond 53 bits: exact integers, held to the range of a long.
-    wide = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in d], object).T
-    return np.clip(wide, -(1 << 63), (1 << 63) - 1)
-
-
-def dual_search(q: np.ndarray, q_row: np.ndarray, floor: np.ndarray, d: np.ndarray, d_row: np.ndarray, d_id: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best rows of d for each of q (fewer: -1 as position) by score and then id, of those that reach the query's floor."""
-    exact = float(np.linalg.norm(q, axis=1).max()) * float(np.linalg.norm(d, axis=1).max()) < 2**52
-    best = np.full((len(q), k), _LEAST if exact else -(1 << 200), float if exact else object)
-    place = np.full((len(q), k), -1)
-    ids = np.append(d_id, _LAST)
-    worst = floor.astype(float)
-    stack = [(cover_tree(q, np.arange(len(q))), cover_tree(d, np.arange(len(d))))]
-    while stack:
-        a, b = stack.pop()
-        if most_possible(a, b) < worst[a.rows].min():
-            continue
-        if a.children or b.children:
-            split_a = bool(a.children) and (not b.children or a.radius >= b.radius)
-            pairs = [(x, b) for x in a.children] if split_a else [(a, x) for x in b.children]
-            stack += sorted(pairs, key=lambda p: most_possible(*p))
-            continue
-        s = _scores(q[a.rows], d[b.rows], exact)
-        s = np.where(q_row[a.rows][:, None] == d_row[b.rows], _LEAST if exact else -(1 << 200), s)
-        both = np.concatenate([best[a.rows], s], 1)
-        at = np.concatenate([place[a.rows], np.broadcast_to(b.rows, s.shape)], 1)
-        order = np.lexsort((ids[at], -both), axis=1)[:, :k] if exact else np.array([sorted(range(both.shape[1]), key=lambda c: (-r[c], ids[p[c]]))[:k] for r, p in zip(both, at)])
-        best[a.rows], place[a.rows] = np.take_along_axis(both, order, 1), np.take_along_axis(at, order, 1)
-        worst[a.rows] = np.maximum(worst[a.rows], best[a.rows, k - 1].astype(float))
-    place[best == (_LEAST if exact else -(1 << 200))] = -1
-    place[(best.astype(float) < floor[:, None]) & (place >= 0)] = -1
-    return best, place
+    if len(rows) <= LEAF or not radius:
+        return Tree(rows, [], None)
+    picked = net(own, FAN, radius / 2)
+    group = nearest(own, own[picked])
+    parts = [rows[np.concatenate([[p], np.setdiff1d(np.flatnonzero(group == i), [p])])] for i, p in enumerate(picked) if (group == i).any()]
+    if len(parts) == 1:  # rounding can leave all with one centre
+        return Tree(rows, [], None)
+    each = [covering(points[p]) for p in parts]
+    return Tree(rows, [cover_tree(points, p) for p in parts], Nodes(*(np.concatenate([getattr(n, f) for n in each]) for f in ("centre", "radius", "angle", "low", "high"))))
+
+
+class Search:
+    """The k best rows of d for each of q by score and then id, among those that reach the query's floor."""
+
+    def __init__(self, q: np.ndarray, q_row: np.ndarray, floor: np.ndarray, d: np.ndarray, d_row: np.ndarray, d_id: np.ndarray, k: int):
+        self.q, self.q_row, self.floor, self.d, self.d_row, self.d_id, self.k = q, q_row, floor, d, d_row, d_id, k
+        self.exact = float(np.linalg.norm(q, axis=1).max()) * float(np.linalg.norm(d, axis=1).max()) < 2**52
+        self.worst = floor.astype(float)
+        self.found: tuple[np.ndarray, ...] = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))  # query, row of d, score
+        self.products = 0
+
+    def run(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Positions in q and d and scores of the results."""
+        stack = [(cover_tree(self.q, np.arange(len(self.q))), cover_tree(self.d, np.arange(len(self.d))))]
+        while stack:
+            a, b = stack.pop()
+            some_a, some_b = a.children or [a], b.children or [b]
+            if len(some_a) == len(some_b) == 1:
+                self._compute(a.rows, b.rows)
+                continue
+            bound = most_possible(a.bounds or covering(self.q[a.rows]), b.bounds or covering(self.d[b.rows]))
+            alive = bound >= np.array([self.worst[x.rows].min() for x in some_a])[:, None]
+            work = np.outer([len(x.rows) for x in some_a], [len(x.rows) for x in some_b])
+            if np.isfinite(self.worst[a.rows].min()) and work[alive].sum() > ENOUGH * len(a.rows) * len(b.rows):
+                self._compute(a.rows, b.rows)
+                continue
+            left = np.argwhere(alive)
+            stack += [(some_a[i], some_b[j]) for i, j in left[np.argsort(bound[alive], kind="stable")]]
+        query, row, score = self.found
+        return query, row, [int(x) for x in score]
+
+    def _compute(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.products += len(a) * len(b)
+        if not self.exact:
+            return self._compute_wide(a, b)
+        for at in range(0, len(a), step := max(1, CELLS // len(b))):
+            rows = a[at : at + step]
+            s = self.q[rows] @ self.d[b].T
+            s[self.q_row[rows][:, None] == self.d_row[b]] = -np.inf
+            least = self.worst[rows]
+            if len(b) > self.k:
+                least = np.maximum(least, np.partition(s, -self.k, axis=1)[:, -self.k])
+            i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            self._keep(rows[i], b[j], s[i, j])
+        return None
+
+    def _compute_wide(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Products beyond 53 bits, as exact integers."""
+        d = np.array([[int(x) for x in r] for r in self.d[b]], object)
+        for i in a:
+            s = d @ np.array([int(x) for x in self.q[i]], object)
+            ok = self.d_row[b] != self.q_row[i]
+            self._keep(np.full(ok.sum(), i), b[ok], s[ok])
+
+    def _keep(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        met = np.zeros(len(self.q), bool)
+        met[query] = True
+        again = met[self.found[0]]
+        query, row, score = (np.concatenate([f[again], new]) for f, new in zip(self.found, (query, row, score)))
+        if score.dtype == object:
+            order = np.array(sorted(range(len(score)), key=lambda x: (query[x], -score[x], self.d_id[row[x]], row[x])), int)
+        else:
+            order = np.lexsort((row, self.d_id[row], -score, query))
+        query, row, score = query[order], row[order], score[order]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        kth = rank == self.k - 1
+        self.worst[query[kth]] = np.maximum(self.worst[query[kth]], score[kth].astype(float) * (1 - 1e-12 * np.sign(score[kth].astype(float))) if score.dtype == object else score[kth])
+        stays = (rank < self.k) & (score.astype(float) >= self.floor[query])
+        self.found = tuple(np.concatenate([f[~again], new[stays]]) for f, new in zip(self.found, (query, row, score)))
+
+
+def sortable(score: int) -> bytes:
+    """Bytes that sort as the integers do."""
+    return (score + (1 << 8 * _KEY_BYTES - 1)).to_bytes(_KEY_BYTES, "big")
 
 
 def _packed(counts: dict[int, int], tile: int) -> dict[int, tuple[int, int]]:
@@ -126,25 +199,37 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
     or hold null or non-finite components take no part; an empty one counts as
     zero. Rows that repeat a vec_id are rows of their own, a null one sorts last.
 
-    The top level of the tree is a net of TOP_NODES centres from a bounded
-    sample; every row goes to its nearest centre, and radii come from all rows.
-    Each query's kth score within the sample bounds its result from below; node
-    pairs whose radii can't reach a query group's worst bound are dropped. The
-    others meet in tiles of bounded size, where both sides' trees go on.
+    A score beyond a long's range takes part with its true value and is returned
+    as the range's end. Other columns aren't looked at, whatever their names; an
+    empty table gives no rows, as does one without queries.
+
+    The top level of the tree is a net of centres from a bounded sample, more of
+    them for more rows; every row goes to its nearest centre, and radii, angles
+    and norms come from all rows. Each query's kth score within the sample
+    bounds its result from below; node pairs whose bounds can't reach a query
+    group's worst kth score are dropped, and their rows never meet. The others
+    meet in tiles of bounded size, cut along nodes, where both sides' trees go
+    on; where bounds leave nearly all of a pair's products they are computed at
+    once, in blocks.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = vectors.where(finite("embedding")).select(
         F.monotonically_increasing_id().alias("row"), F.coalesce("vec_id", F.lit(_LAST).cast("long")).alias("id"), F.col("vec_id").isNull().alias("nameless"), "embedding"
     )  # ids without nulls stay integers in pandas
-    rows, _ = written(rows, "vectors")
-    sample = rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).toPandas()
+    rows, rows_path = written(rows, "vectors")
+    n = rows.count()
     schema = "query_id long, rank int, vec_id long, score long"
-    if sample.empty:
+    if not n:
         return spark.createDataFrame([], schema)
+    sample = rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).toPandas()
     some = scaled(matrix(sample["embedding"]))
     width = some.shape[1]
-    centres = some[net(some, TOP_NODES, 0.0)]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tile = int(np.clip(n // (2 * tasks), LEAST_TILE, DATA_TILE))
+    picked = some[net(some, int(np.clip(2 * n // tile, LEAST_NODES, MOST_NODES)), 0.0)]
+    group = nearest(some, picked)
+    centres = np.stack([some[group == i].mean(0) for i in range(len(picked)) if (group == i).any()])
     shared = spark.sparkContext.broadcast((centres, some, sample["row"].to_numpy()))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,33 +240,42 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
             far = squares(v, wide(centres))
             pdf["top"] = far.argmin(1)
             pdf["away"] = np.sqrt(far.min(1))
+            pdf["angle"] = angles(v, wide(centres)[pdf["top"]])
+            pdf["norm"] = np.linalg.norm(v, axis=1)
             pdf["query"] = (pdf["id"] % every == 0) & ~pdf["nameless"]
-            pdf["floor"] = _LEAST
+            pdf["floor"] = -np.inf
             if len(at := np.flatnonzero(pdf["query"])) and len(some) > k:
                 s = v[at] @ wide(some).T
-                s[pdf["row"].to_numpy()[at][:, None] == some_rows] = _LEAST
+                s[pdf["row"].to_numpy()[at][:, None] == some_rows] = -np.inf
                 # Less a margin for products that doubles don't hold exactly.
                 kth = np.partition(s, -k, axis=1)[:, -k]
                 pdf.loc[pdf.index[at], "floor"] = kth - 1e-9 * np.abs(s[np.isfinite(s)]).max(initial=0)
-            yield pdf[["row", "id", "nameless", "embedding", "top", "away", "query", "floor"]]
+            yield pdf[["row", "id", "nameless", "embedding", "top", "away", "angle", "norm", "query", "floor"]]
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    placed, _ = written(rows.mapInPandas(place, f"row long, id long, nameless boolean, embedding {kind}, top int, away double, query boolean, floor double"), "placed")
+    columns = f"row long, id long, nameless boolean, embedding {kind}, top int, away double, angle double, norm double, query boolean, floor double"
+    placed, _ = written(rows.mapInPandas(place, columns), "placed")
+    dropped(spark, rows_path)
+    of = lambda f, c, which: f(F.when(F.col("query"), F.col(c))) if which == "q" else f(F.col(c))
     stats = placed.groupBy("top").agg(
-        F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.count_if("query").alias("queries"),
-        F.max(F.when(F.col("query"), F.col("away"))).alias("q_radius"), F.min(F.when(F.col("query"), F.col("floor"))).alias("worst"),
-    ).collect()  # at most TOP_NODES rows
-    norms = np.linalg.norm(centres, axis=1)
-    as_node = lambda i, r: Node(centres[i], float(norms[i]), float(r), np.zeros(0), [])
-    q_tiles = _packed({s.top: s.queries for s in stats if s.queries}, QUERY_TILE)
-    d_tiles = _packed({s.top: s.n for s in stats}, DATA_TILE)
-    meets = {d.top: [q for q in stats if q.queries and most_possible(as_node(q.top, q.q_radius * (1 + 1e-9)), as_node(d.top, d.radius * (1 + 1e-9))) >= q.worst] for d in stats}
+        F.count(F.lit(1)).alias("n"), F.count_if("query").alias("queries"), of(F.min, "floor", "q").alias("worst"),
+        *(of(f, c, w).alias(f"{w}_{name}") for w in "qd" for name, f, c in (("radius", F.max, "away"), ("angle", F.max, "angle"), ("low", F.min, "norm"), ("high", F.max, "norm"))),
+    ).orderBy("top").collect()  # at most MOST_NODES rows
+    asking = [x for x in stats if x.queries]
+    if not asking:
+        return spark.createDataFrame([], schema)
+
+    def nodes(which: str, some_stats: list) -> Nodes:
+        grown = lambda name, by=1.0 + 1e-9: np.array([x[f"{which}_{name}"] for x in some_stats]) * by
+        return Nodes(centres[[x.top for x in some_stats]], grown("radius"), grown("angle"), grown("low", 1 - 1e-9), grown("high"))
+
+    meet = most_possible(nodes("q", asking), nodes("d", stats)) >= np.array([x.worst for x in asking])[:, None]
+    q_tiles = _packed({x.top: x.queries for x in asking}, QUERY_TILE)
+    d_tiles = _packed({x.top: x.n for x in stats}, tile)
     # For each node: its tiles, and the tiles of the other side that it has to meet.
     spread = lambda pair: range(pair[0], pair[0] + pair[1])
-    data_side = [(d, *d_tiles[d], sorted({t for q in qs for t in spread(q_tiles[q.top])})) for d, qs in meets.items() if qs]
-    query_side = [(q, *q_tiles[q], sorted({t for d, qs in meets.items() if any(x.top == q for x in qs) for t in spread(d_tiles[d])})) for q in q_tiles]
-    if not query_side:
-        return spark.createDataFrame([], schema)
+    data_side = [(x.top, *d_tiles[x.top], sorted({t for i in np.flatnonzero(meet[:, j]) for t in spread(q_tiles[asking[i].top])})) for j, x in enumerate(stats) if meet[:, j].any()]
+    query_side = [(x.top, *q_tiles[x.top], sorted({t for j in np.flatnonzero(meet[i]) for t in spread(d_tiles[stats[j].top])})) for i, x in enumerate(asking)]
     ddl = "top int, first int, parts int, others array<int>"
     own = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     on_side = lambda df, side: df.join(F.broadcast(spark.createDataFrame(side, ddl)), "top").withColumn("own", own).withColumn("other", F.explode("others"))
@@ -192,15 +286,18 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
         asks = pdf["asks"].to_numpy()
         v, row = scaled(matrix(pdf["embedding"])), pdf["row"].to_numpy()
         ids, nameless = pdf["id"].to_numpy(), pdf["nameless"].to_numpy()
-        if not asks.any() or asks.all():
-            return pd.DataFrame({"query_row": row[:0], "query_id": row[:0], "row": row[:0], "id": row[:0], "nameless": nameless[:0], "score": row[:0]})
-        best, at = dual_search(v[asks], row[asks], pdf["floor"].to_numpy()[asks], v[~asks], row[~asks], ids[~asks], k)
-        i, j = np.nonzero(at >= 0)
-        p = np.flatnonzero(~asks)[at[i, j]]
-        return pd.DataFrame({"query_row": row[asks][i], "query_id": ids[asks][i], "row": row[p], "id": ids[p], "nameless": nameless[p], "score": [int(x) for x in best[i, j]]})
-
-    found = q.unionByName(d).groupBy("qt", "dt").applyInPandas(search, "query_row long, query_id long, row long, id long, nameless boolean, score long")
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "nameless", "id", "row")
+        i, j, score = np.zeros(0, int), np.zeros(0, int), []
+        if asks.any() and not asks.all():
+            i, j, score = Search(v[asks], row[asks], pdf["floor"].to_numpy()[asks], v[~asks], row[~asks], ids[~asks], k).run()
+        p = np.flatnonzero(~asks)[j]
+        held = [min(max(x, -_LAST - 1), _LAST) for x in score]
+        return pd.DataFrame({
+            "query_row": row[asks][i], "query_id": ids[asks][i], "row": row[p], "id": ids[p], "nameless": nameless[p],
+            "score": np.array(held, np.int64), "key": np.array([sortable(x) for x in score], object),
+        })
+
+    found = q.unionByName(d).groupBy("qt", "dt").applyInPandas(search, "query_row long, query_id long, row long, id long, nameless boolean, score long, key binary")
+    order = Window.partitionBy("query_row").orderBy(F.desc("key"), "nameless", "id", "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(~F.col("nameless"), F.col("id")).alias("vec_id"), "score")
 

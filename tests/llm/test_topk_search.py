@@ -3,7 +3,7 @@ import pytest
 from oracle import SF, connect, same
 
 from corvane.llm import topk_search
-from corvane.llm.topk_search import Node, cover_tree, dual_search, exact_top_k, most_possible, op8_top_k
+from corvane.llm.topk_search import Search, Tree, cover_tree, covering, exact_top_k, most_possible, op8_top_k, sortable
 
 SCHEMA = "vec_id long, embedding array<float>, label int, `row` string, top string, query string"
 
@@ -28,9 +28,9 @@ def test_query_matches_sql(spark):
     same(op8_top_k(spark, SF), topk_search.SQL, connect())
 
 
-@pytest.mark.parametrize("tiles", [(8, 32), (2048, 8192)])
+@pytest.mark.parametrize("tiles", [(8, 32, 32), (2048, 1024, 8192)])
 def test_like_brute_force(spark, monkeypatch, tiles):
-    for name, value in zip(("QUERY_TILE", "DATA_TILE", "LEAF", "SAMPLE"), (*tiles, 8, 40)):
+    for name, value in zip(("QUERY_TILE", "LEAST_TILE", "DATA_TILE", "LEAF", "SAMPLE"), (*tiles, 8, 40)):
         monkeypatch.setattr(topk_search, name, value)
     draw = np.random.default_rng(2)
     base = draw.standard_normal((9, 6))
@@ -62,33 +62,52 @@ def test_large_components_stay_exact(spark):
     assert got(spark, rows) == brute(rows)
 
 
-def test_trees_cover_and_bounds_hold():
-    draw = np.random.default_rng(4)
-    points = np.round(draw.standard_normal((700, 5)) * 50)
-    points[:300] = points[0]
-
-    def walk(node: Node, rows: list):
-        assert (np.linalg.norm(points[node.rows] - node.centre, axis=1) <= node.radius + 1e-6).all()
-        if node.children:
-            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
-            for c in node.children:
-                walk(c, rows)
-        rows.append(node)
+def test_scores_beyond_longs_keep_their_order(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [2e30, 1.0]), (3, [-1e30, 0.0]), (4, [-2e30, 0.0])]
+    out = got(spark, rows)
+    assert [(r[1], r[2]) for r in out] == [(1, 2), (2, 1), (3, 3), (4, 4)]
+    assert [r[3] for r in out] == [2**63 - 1, 2**63 - 1, -(2**63), -(2**63)]
+    numbers = [-(10**82), -1, 0, 1, 10**82]
+    assert [sortable(x) for x in numbers] == sorted(map(sortable, numbers))
 
-    nodes: list[Node] = []
-    walk(cover_tree(points, np.arange(700)), nodes)
-    for a in nodes[:12]:
-        for b in nodes[-12:]:
-            assert (points[a.rows] @ points[b.rows].T).max() <= most_possible(a, b) + 1e-6
 
-
-def test_floors_drop_nothing_that_counts():
+def test_trees_cover_and_bounds_hold():
+    draw = np.random.default_rng(4)
+    for offset in (0, 90):
+        points = np.round(draw.standard_normal((700, 5)) * 50 + offset)
+        points[:300] = points[0]
+        points[-1] = 0
+        leaves = []
+
+        def walk(node: Tree):
+            if not node.children:
+                leaves.append(node.rows)
+            elif node.bounds is not None:
+                assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+                for i, c in enumerate(node.children):
+                    assert (np.linalg.norm(points[c.rows] - node.bounds.centre[i], axis=1) <= node.bounds.radius[i] + 1e-6).all()
+                    walk(c)
+
+        walk(cover_tree(points, np.arange(700)))
+        for a in leaves[:12]:
+            for b in leaves[-12:]:
+                assert (points[a] @ points[b].T).max() <= most_possible(covering(points[a]), covering(points[b]))[0, 0] + 1e-6
+
+
+def test_search_is_exact_and_prunes_clusters():
     draw = np.random.default_rng(5)
-    q, d = np.floor(draw.standard_normal((40, 4)) * 20), np.floor(draw.standard_normal((300, 4)) * 20)
-    ids = draw.permutation(300)
-    floor = np.sort(q @ d.T, axis=1)[:, -5]
-    for f in (floor, np.full(40, -np.inf)):
-        best, at = dual_search(q, np.arange(40) + 1000, f, d, np.arange(300), ids, 5)
-        for i in range(40):
-            want = sorted(range(300), key=lambda j: (-(q[i] @ d[j]), ids[j]))[:5]
-            assert at[i].tolist() == want and best[i].tolist() == [q[i] @ d[j] for j in want]
+    centres = draw.standard_normal((20, 16))
+    for spread, share in ((0.05, 0.2), (3.0, 1.0)):
+        points = centres[draw.integers(0, 20, 4000)] + spread * draw.standard_normal((4000, 16))
+        points = np.floor(256 * points / np.linalg.norm(points, axis=1, keepdims=True))
+        q, d, ids = points[:200], points[200:], draw.permutation(3800)
+        scores = q @ d.T
+        for floor in (np.sort(scores, axis=1)[:, -5], np.full(200, -np.inf)):
+            search = Search(q, np.arange(200) + 10_000, floor, d, np.arange(3800), ids, 5)
+            i, j, s = search.run()
+            for x in range(200):
+                want = sorted(range(3800), key=lambda y: (-scores[x, y], ids[y]))[:5]
+                own = np.flatnonzero(i == x)
+                assert sorted(j[own]) == sorted(want) and sorted(s[y] for y in own) == sorted(scores[x, want])
+            if np.isfinite(floor).all():
+                assert search.products <= share * 200 * 3800
