@@ -70,8 +70,13 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def _key(*columns: str) -> Column:
+    """64 bits by which rows are looked up; what is found is always compared by more than it."""
+    return F.xxhash64(*columns)
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
-    """(id, key, n, s, t, g, prefix): size, 128-bit digest (s, t) of the shingle set, digest g of size and prefix."""
+    """(id, key, twin, n, s, t, g, prefix): size, 128-bit digest (s, t) of the shingle set, digest g of size and prefix."""
     counts = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +96,11 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 prefixes.append(p.view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int64).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            columns = [b.column("id"), b.column("key"), *(pa.array(v, pa.int64()) for v in (n, s, t, g)), listed]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "s", "t", "g", "prefix"])
+            columns = [b.column("id"), b.column("key"), b.column("twin"), *(pa.array(v, pa.int64()) for v in (n, s, t, g)), listed]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "twin", "n", "s", "t", "g", "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(profile, f"id {kind}, key long, n long, s long, t long, g long, prefix array<long>")
+    return docs.mapInArrow(profile, f"id {kind}, key long, twin long, n long, s long, t long, g long, prefix array<long>")
 
 
 def _digest(x: np.ndarray, seed: int) -> int:
@@ -189,16 +194,17 @@ def _in_sieve(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, shingles) for the rows of docs whose key is wanted; only those texts are hashed again, and none is shuffled."""
+    """(key, s, t, shingles) for the rows of docs whose key is wanted; only those texts are hashed again, and none is shuffled."""
     wanted = docs.sparkSession.sparkContext.broadcast(_sieve(keys.select("key")))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(_in_sieve(b.column("key").to_numpy(), wanted.value)))
-            sets = [shingle_set(raw).view(np.int64) for raw in _texts(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+            sets = [shingle_set(raw) for raw in _texts(b, "text")]
+            digests = [pa.array([_digest(x, seed) for x in sets], pa.int64()) for seed in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *digests, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["key", "s", "t", "shingles"])
 
-    return docs.select("key", "text").mapInArrow(hashes, "key long, shingles array<long>")
+    return docs.select("key", "text").mapInArrow(hashes, "key long, s long, t long, shingles array<long>")
 
 
 def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -267,43 +273,49 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
        area, in tiles of bounded size where an area is large. Tiles return link
        counts and one edge for each set.
 
-    Shingles are compared by 64-bit hashes, sets by 128 bits.
+    Shingles are compared by 64-bit hashes, sets by 128 bits. Texts of any
+    length are taken whole; an empty table gives no rows; other columns aren't
+    looked at, whatever their names.
     """
     slim, info = _solved(docs)
-    return _classes(slim, info)
+    rows = slim.where("n > 0").join(info, ["s", "t"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "n_links", F.col("first.id").alias("component_id"))
+    empty = slim.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return rows.unionByName(empty)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that link, directly or through others, with the one of smallest doc_id, which stays.
 
     All columns stay. Rows of equal doc_id and text are one document; of a
-    component's rows with the smallest doc_id one stays. Texts without words
-    all stay.
+    component's rows with the smallest doc_id one stays. Texts without words,
+    empty and null ones all stay. A row is known by its doc_id and 128 bits of
+    its text; the rest is as in jaccard_classes.
     """
     slim, info = _solved(docs)
-    labelled = slim.where("n > 0").join(info, ["s", "t"]).select("label", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("r"))
-    stays = labelled.groupBy("label").agg(F.min("r").alias("least"))
-    goes, _ = written(labelled.join(stays, "label").where(F.col("r.key") != F.col("least.key")).select(F.col("r.key").alias("key")).distinct(), "going")
-    again, _ = written(slim.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "repeated")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "key", "twin")
+    goes, _ = written(slim.where("n > 0").join(info, ["s", "t"]).where(own != F.col("first")).select("id", "key", "twin").distinct(), "going")
+    again, _ = written(slim.where("n > 0").groupBy("id", "key", "twin").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id", "key", "twin"), "repeated")
     # Only rows that may go are shuffled, with their texts; the sieve tells them, and exact joins decide.
-    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(goes.unionByName(again)))
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(goes.select("key").unionByName(again.select("key"))))
     touched = F.arrow_udf(lambda keys: pa.array(_in_sieve(keys.to_numpy(), sieve.value)), "boolean")
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
-    left = keyed.where(touched("key")).join(goes, "key", "left_anti")
-    kept = keyed.where(~touched("key")).unionByName(left.join(again, "key", "left_anti"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), _key("doc_id", "text").alias("own_key"), F.xxhash64("text").alias("own_twin"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")) & (F.col("own_twin") == F.col("twin"))
+    left = keyed.where(touched("own_key")).join(goes, same, "left_anti")
+    kept = keyed.where(~touched("own_key")).unionByName(left.join(again, same, "left_anti"))
     if not again.isEmpty():
-        kept = kept.unionByName(left.join(again, "key", "left_semi").dropDuplicates(["key"]))
+        kept = kept.unionByName(left.join(again, same, "left_semi").dropDuplicates(["own_id", "own_key", "own_twin"]))
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, key, n, s, t) of each row; (s, t, n_links, label) of each set of one shingle or more."""
+    """(id, key, twin, n, s, t) of each row; (s, t, n_links, first) of each set of one shingle or more, first being its component's row of smallest id."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text"))
+    rows = docs.select(F.col("doc_id").alias("id"), _key("doc_id", "text").alias("key"), F.xxhash64("text").alias("twin"), F.col("text"))
     profiles, profile_path = written(_profiles(rows), "profiles")
-    slim, _ = written(profiles.select("id", "key", "n", "s", "t", "g"), "sets")
-    sets = slim.where("n > 0").groupBy("s", "t").agg(F.max("n").alias("n"), F.max("g").alias("g"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"))
+    slim, _ = written(profiles.select("id", "key", "twin", "n", "s", "t", "g"), "sets")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "twin")).alias("first")
+    sets = slim.where("n > 0").groupBy("s", "t").agg(F.max("n").alias("n"), F.max("g").alias("g"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), first)
     # A group of several sets is an area even if no other group is near it.
     crowded = sets.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", F.col("g").alias("area"))
     areas = _candidates(profiles).unionByName(crowded).groupBy("g").agg(F.min("area").alias("area"))
@@ -314,7 +326,7 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = size.select("area", F.ceil(F.col("total") / TILE_SHINGLES).alias("tiles"))
     bins = max(1, (size.agg(F.sum("total")).first()[0] or 0) // BIN_SHINGLES + 1)
     members = chosen.join(sized, "area").withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("s", "t"), "tiles")).otherwise(0))
-    built = members.join(_sets_of(rows, chosen).dropDuplicates(["key"]), "key")
+    built = members.join(_sets_of(rows, chosen).dropDuplicates(["key", "s", "t"]), ["key", "s", "t"])
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     dealt = built.withColumn("other", partner).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
     bin_of = F.when(F.col("tiles") > 1, F.col("area")).otherwise(F.pmod(F.xxhash64("area"), F.lit(bins)))
@@ -332,16 +344,13 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         joined = links.join(components(across).withColumnRenamed("root", "top"), F.col("s") == F.col("node"), "left")
         labelled = joined.withColumn("label", F.when(F.col("whole"), F.col("root")).otherwise(F.coalesce("top", "s")))
     near = labelled.select("s", "t", "near", "label")
-    info = sets.join(near, ["s", "t"], "left").select("s", "t", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("label", "s").alias("label"))
-    return slim, written(info, "set-links")[0]
-
-
-def _classes(slim: DataFrame, info: DataFrame) -> DataFrame:
-    rows = slim.join(info, ["s", "t"], "left")
-    least = slim.groupBy("s", "t").agg(F.min("id").alias("id")).join(info, ["s", "t"]).groupBy("label").agg(F.min("id").alias("component_id"))
-    full = rows.where("n > 0").join(least, "label").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "n_links", "component_id")
-    empty = slim.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return full.unionByName(empty)
+    linked = sets.join(near, ["s", "t"], "left").select("s", "t", "first", (F.col("copies") - 1 + F.coalesce(F.col("near"), F.lit(0))).alias("n_links"), F.coalesce("label", "s").alias("label"), F.col("label").isNull().alias("alone"))
+    linked, _ = written(linked, "set-links")
+    # Both sides of this join are written tables, so that Spark can split a large component's sets among tasks.
+    least, _ = written(linked.where("NOT alone").groupBy("label").agg(F.min("first").alias("least")), "least")
+    joined = linked.where("NOT alone").join(least, "label").select("s", "t", "n_links", F.col("least").alias("first"))
+    info, _ = written(joined.unionByName(linked.where("alone").select("s", "t", "n_links", "first")), "classes")
+    return slim, info
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

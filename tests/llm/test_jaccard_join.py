@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from oracle import SF, connect, same as same_rows
 
 from corvane.llm import jaccard_join
@@ -68,6 +69,32 @@ def test_like_brute_force(spark, monkeypatch, tile, lists):
     assert sum(w[2] > 0 for w in want) > 40
 
 
+def test_long_lists_and_a_large_component(spark):
+    draw = random.Random(9)
+    passage, rows = [f"p{k}" for k in range(6)], []
+    for i in range(70):  # a passage in more groups than LIST_GROUPS, in texts with little else, of which few link
+        rows.append((i, " ".join(passage + [f"x{i}w{k}" for k in range(5)])))
+    base = [f"b{k}" for k in range(80)]
+    for i in range(70, 300):  # a chain of near copies of one text
+        base[draw.randrange(80)] = f"c{i}"
+        rows.append((i, " ".join(base)))
+    got = sorted(tuple(r) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [w[:4] for w in brute(rows)]
+    assert got == want
+    assert jaccard_join.LIST_GROUPS < 70 and sum(w[3] == 70 for w in want) == 230
+
+
+def test_colliding_keys_change_nothing(spark, monkeypatch, odd_docs):
+    rows = corpus(80)
+    monkeypatch.setattr(jaccard_join, "_key", lambda *columns: F.lit(7).cast("long"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert sorted(tuple(r) for r in jaccard_classes(docs).collect()) == [w[:4] for w in want]
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == sorted({w[3] if w[1] else w[0] for w in want})
+    given = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    assert sorted((tuple(r) for r in jaccard_classes(odd_docs).collect()), key=repr) == sorted((w[:4] for w in brute(given)), key=repr)
+
+
 def test_bound_is_reached_exactly(spark):
     # 9 shingles, 8 in common of 10 together: exactly 0.8; with 7 of 9 below it.
     a = "a b c d e f g h i j k l m"
