@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, table, written
+from corvane.llm.common import bounded_batches, dropped, table, written
 from corvane.llm.components import components
 from corvane.llm.vectors import finite, k_means, matrix, nearest, squares
 
@@ -39,16 +39,20 @@ class Index:
         return np.array_split(x, len(self.codebooks), axis=1)
 
     def probes(self, unit: np.ndarray, reach: float) -> list[np.ndarray]:
-        """For each unit vector all lists that can hold one within reach of it.
+        """For each unit vector its own list and, of the others that can hold one within reach of it, those that it has to ask.
 
         With a its nearest centre, a list c can do so only if the plane halfway
         between a and c is within reach: |y-c|^2 - |y-a|^2 <= 2 * reach * |a-c|.
+        That holds from both sides, so of two lists only one asks the other: the
+        lesser if their sum is even, else the greater.
         """
         d = squares(unit, self.centres)
         own = d.argmin(1)
         apart = np.sqrt(squares(self.centres, self.centres))
         slack = d - d[np.arange(len(d)), own][:, None] - 2 * reach * apart[own]
-        return [np.flatnonzero(s <= _EPS) for s in slack]
+        a, c = own[:, None], np.arange(len(self.centres))
+        asks = (a == c) | ((a < c) == ((a + c) % 2 == 0))
+        return [np.flatnonzero(s) for s in (slack <= _EPS) & asks]
 
 
 def fit_index(sample: np.ndarray, lists: int) -> Index:
@@ -64,11 +68,16 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _links(pdf: pd.DataFrame, index: dict[int, Index], cosine: float) -> pd.DataFrame:
-    """Links between the queries and the entries of one tile of a list: weights of each node, and its least local root."""
+    """Links between the queries and the entries of one tile of a list: weights of each node, and its least local root.
+
+    Queries of the list's own are entries too and meet each other both ways;
+    pairs with guests are met only here, and count for both.
+    """
     dim, home = len(pdf["embedding"].iloc[0]), int(pdf["list"].iloc[0])
     unit, node, copies = _unit(matrix(pdf["embedding"])), pdf["node"].to_numpy(), pdf["copies"].to_numpy()
     entry = np.flatnonzero(pdf["entry"].to_numpy())
     query = np.flatnonzero(~pdf["entry"].to_numpy())
+    guest = pdf["guest"].to_numpy()
     reach = np.sqrt(2 - 2 * cosine)
     near, label = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
     # The same node may stand here as a query and as an entry: both get its first place's label.
@@ -96,6 +105,7 @@ def _links(pdf: pd.DataFrame, index: dict[int, Index], cosine: float) -> pd.Data
             r, c = rows[s : s + 65536], cols[s : s + 65536]
             linked[r, c] = (np.einsum("ij,ij->i", unit[q[r]], unit[entry[c]]) >= cosine) & (node[q[r]] != node[entry[c]])
         near[q] += linked @ copies[entry]
+        near[entry] += (copies[q] * guest[q]) @ linked
         for i in np.flatnonzero(linked.any(1)):
             old = np.unique(np.append(label[entry[linked[i]]], label[q[i]]))
             label[np.isin(label, old)] = old[0]
@@ -112,11 +122,14 @@ def embedding_classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     that are null, empty, zero or hold null or non-finite components link with
     nothing. n_links counts the other rows linked directly; component_id is the
     smallest vec_id reachable, itself included (a null vec_id is never the
-    smallest); kept tells whether that is the row's own.
-
-    Equal vectors of a label collapse to one node with a count. An index is
-    fitted on a bounded sample; every node is an entry of the list of its
-    nearest centre, and asks all lists that can hold a vector near enough.
+    smallest); kept tells whether that is the row's own. Rows that repeat count
+    as rows of their own. Other columns aren't looked at, whatever their names;
+    an empty table gives no rows.
+
+    Equal vectors of a label (by 128 bits) collapse to one node with a count. An
+    index is fitted on a bounded sample; every node is an entry of the list of
+    its nearest centre, and of any two lists that can hold vectors near enough
+    to each other one's nodes ask the other.
     Look-up distances only rule out entries that the coding error can't bring
     near enough, so no link is lost. Large lists are dealt in tiles of TILE
     queries and TILE entries; tiles return counts and one edge for each node.
@@ -124,9 +137,11 @@ def embedding_classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = vectors.sparkSession
     bounded_batches(spark)
     takes_part = F.col("label").isNotNull() & finite("embedding") & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select("vec_id", "label", "embedding", takes_part.alias("part"))
-    grouped = rows.where("part").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    nodes, _ = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Rows find back to their nodes by digests of label and vector, not by whole vectors.
+    twins = (F.xxhash64("label", "embedding").alias("s"), F.xxhash64(F.lit("twin"), "label", "embedding").alias("t"))
+    rows = vectors.select("vec_id", "label", "embedding", takes_part.alias("part"), *twins)
+    grouped = rows.where("part").groupBy("s", "t").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    nodes, nodes_path = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     sample = nodes.orderBy(F.xxhash64("label", "embedding"), "node").limit(SAMPLE).select("embedding").toPandas()["embedding"]
     most = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -150,12 +165,14 @@ def embedding_classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     kind = nodes.schema["embedding"].dataType.simpleString()
     label = nodes.schema["label"].dataType.simpleString()
-    placed, _ = written(
+    placed, placed_path = written(
         nodes.select("node", "label", "embedding", "copies").mapInPandas(place, f"node long, label {label}, embedding {kind}, copies long, dim int, list int, asks array<int>"), "placed"
     )
     key = ["label", "dim", "list"]
-    entries = placed.select("node", *key, "embedding", "copies", F.lit(True).alias("entry"))
-    queries = placed.select("node", "label", "dim", F.explode("asks").alias("list"), "embedding", "copies", F.lit(False).alias("entry"))
+    entries = placed.select("node", *key, "embedding", "copies", F.lit(True).alias("entry"), F.lit(False).alias("guest"))
+    queries = placed.select("node", "label", "dim", F.explode("asks").alias("asked"), "embedding", "copies", F.lit(False).alias("entry"), "list").select(
+        "node", "label", "dim", F.col("asked").alias("list"), "embedding", "copies", "entry", (F.col("asked") != F.col("list")).alias("guest")
+    )
     tiles = (
         placed.groupBy(*key).agg(F.count(F.lit(1)).alias("e"))
         .join(placed.select("label", "dim", F.explode("asks").alias("list")).groupBy(*key).agg(F.count(F.lit(1)).alias("q")), key)
@@ -177,8 +194,9 @@ def embedding_classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     least = full.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = full.join(least, "root").select("node", "n_links", "component_id")
-    of_node = nodes.select("label", "embedding", "node").join(classes, "node").select("label", "embedding", "n_links", "component_id")
-    linked = rows.where("part").join(of_node, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    of_node, _ = written(nodes.select("s", "t", "node").join(classes, "node").select("s", "t", "n_links", "component_id"), "vector-classes")
+    dropped(spark, nodes_path, placed_path)
+    linked = rows.where("part").select("vec_id", "s", "t").join(of_node, ["s", "t"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT part").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from oracle import SF, connect, same as same_rows
@@ -70,6 +72,38 @@ def test_odd_vectors(spark):
     assert all(got[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 12, -3))
 
 
+def test_every_link_is_found_among_large_groups(spark):
+    path = "/root/testdata/check_h/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the table isn't there")
+    table = spark.read.parquet(path)
+    rows = [(r.vec_id, r.embedding, r.label) for r in table.collect()]
+    want = {r[0]: 0 for r in rows}
+    for label in {r[2] for r in rows} - {None}:
+        own = [r for r in rows if r[2] == label and r[1]]
+        unit = np.array([r[1] for r in own], float)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        for at in range(0, len(own), 500):
+            near = (unit[at : at + 500] @ unit.T >= 0.98).sum(1) - 1
+            want |= {r[0]: int(n) for r, n in zip(own[at : at + 500], near)}
+    got = {r.vec_id: r.n_links for r in embedding_classes(table).collect()}
+    assert got == want and sum(got.values()) > 10_000
+
+
+def test_lists_ask_each_other_once():
+    draw = np.random.default_rng(8)
+    points = draw.standard_normal((600, 6))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    index = embedding_dedup.fit_index(points, 24)
+    own = embedding_dedup.nearest(points, index.centres)
+    asks = [set(a) for a in index.probes(points, 0.3)]
+    for i in range(600):
+        assert own[i] in asks[i]
+        for j in np.flatnonzero(np.linalg.norm(points - points[i], axis=1) <= 0.3):
+            if own[i] != own[j]:
+                assert (own[j] in asks[i]) != (own[i] in asks[j])
+
+
 def test_empty_table(spark):
     assert embedding_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
