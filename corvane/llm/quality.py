@@ -63,7 +63,7 @@ class QualityModel:
     labels: np.ndarray
 
     def latent(self, terms: np.ndarray) -> np.ndarray:
-        z = (terms * self.idf) @ self.axes
+        z = (terms * self.idf).astype(np.float64) @ self.axes.astype(np.float64)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ class QualityModel:
             return np.full(len(terms), 0.5)
         cosine = self.latent(terms) @ self.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** SHARPNESS
         total = weight.sum(1)
         voted = (weight * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
         return np.clip(np.where(total > 0, voted, 0.5), 0, 1)
@@ -103,7 +103,14 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Fits axes on the sample's terms by a truncated singular value decomposition; only term weights come to the driver."""
+    """Fits axes on the sample's terms by a truncated singular value decomposition; only term weights come to the driver.
+
+    The sample is bounded (PER_CLASS rows of each class), its texts are taken
+    whole, whatever their length. Labels other than 0 and 1, null ones, and
+    those of null, held-out or missing doc_ids are left aside. Without any
+    label left, or with an empty table, the model knows nothing and every score
+    is 0.5. Other columns aren't looked at, whatever their names.
+    """
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,6 +138,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
 def quality_score(spark: SparkSession, model: QualityModel, text: Column | str) -> Column:
     """Score (0 to 1, higher: label 1 likelier) of whole texts, as an expression; null and empty texts score 0.5.
 
+    Texts of any length are scored whole, and in double precision, so that a
+    score doesn't depend on the batch it is made in. Rows that repeat score the
+    same, all rows 0.5 with a model fitted without labels; an empty table stays
+    empty.
+
     The labelled vectors are broadcast, being bounded; each batch of documents
     meets all of them in one matrix product. Rows are independent: no shuffle,
     and other columns pass by whatever their names are.
