@@ -4,6 +4,15 @@ LONG = "Lorem ipsum dolor " * 60_000  # a million characters
 UNBROKEN = "x" * 200_000
 
 
+@pytest.fixture(autouse=True)
+def tables_go(spark):
+    """What operators write in a test goes at its end."""
+    from corvane.llm.common import scratch
+
+    with scratch(spark):
+        yield
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty and very long texts, repeated rows, one doc_id with two texts, and columns whose names operators use."""
