@@ -27,19 +27,20 @@ def period_schedule(spark: SparkSession, weights: list[int]) -> DataFrame:
     the data; made slot by slot in one task.
     """
     period = sum(weights)
-    w = F.array(*map(F.lit, weights))
 
     def step(state: Column, t: Column) -> Column:
-        due = F.transform(state["done"], lambda j, p: F.when(
-            (j < F.get(w, p)) & (F.floor(j * period / F.get(w, p)) <= t),
-            F.struct(F.ceil((j + 1) * period / F.get(w, p)).cast("int").alias("deadline"), p.alias("pool")),
+        due = F.transform(state["done"], lambda x, p: F.when(
+            (x["j"] < x["w"]) & (F.floor(x["j"] * period / x["w"]) <= t), F.struct(F.ceil((x["j"] + 1) * period / x["w"]).alias("deadline"), p.alias("pool"))
         ))
-        pick = F.array_min(due)["pool"]
-        return F.struct(
-            F.transform(state["done"], lambda j, p: j + (p == pick).cast("int")).alias("done"), F.concat(state["out"], F.array(pick)).alias("out")
+        run = lambda pick: F.struct(
+            F.transform(state["done"], lambda x, p: F.struct((x["j"] + (p == pick).cast("long")).alias("j"), x["w"].alias("w"))).alias("done"),
+            F.concat(state["out"], F.array(pick)).alias("out"),
         )
+        return F.get(F.transform(F.array(F.array_min(due)["pool"]), run), 0)  # so that the pick is made once
 
-    zero = F.struct(F.array(*[F.lit(0)] * len(weights)).alias("done"), F.expr("cast(array() as array<int>)").alias("out"))
+    zero = F.struct(
+        F.array(*(F.struct(F.lit(0).cast("long").alias("j"), F.lit(x).cast("long").alias("w")) for x in weights)).alias("done"), F.expr("cast(array() as array<int>)").alias("out")
+    )
     one = spark.range(1).select(F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), zero, step, lambda s: s["out"]).alias("out"))
     slots = one.select(F.posexplode("out").alias("slot", "pool"))
     return slots.withColumn("nth", F.row_number().over(Window.partitionBy("pool").orderBy("slot")) - 1)
