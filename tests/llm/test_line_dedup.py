@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from oracle import SF, connect, same
 
 from corvane.llm import line_dedup as module
@@ -37,6 +38,22 @@ def test_copies_do_not_shield_passages(spark):
     assert kept(spark, [(1, "p\nq\nr\ns"), (2, both)])[2][0] == "x\ny"
 
 
+def test_bitmaps_tell_marked_places(spark):
+    size = 1 << 17
+    marked = {*range(0, 300, 7), 32767, 32768, 65535, 65536, size - 1}
+    marks = module._marks(spark.createDataFrame([(x,) for x in marked], "p long"), F.col("p"))
+    met = spark.range(size).join(marks, F.shiftright("id", module.CHUNK_BITS) == F.col("chunk"), "left")
+    assert {r.id for r in met.where(module._is_marked(F.col("id"))).collect()} == marked
+
+
+def test_untouched_texts_pass_by(spark, tmp_path):
+    rows = [(i, f"a {i}\nb {i}\nc {i}\nd", "y") for i in range(500)] + [(1000 + i, "p\nq\nr\ns\nt", "y") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, chunk string").write.parquet(f"{tmp_path}/d")
+    out = mark_repeated_lines(spark.read.parquet(f"{tmp_path}/d")).collect()
+    assert {r.row.doc_id: r.n_removed for r in out if r.n_removed} == {1001: 5, 1002: 5} and len(out) == 503
+    assert all(r.kept_text == r.row.text and r.n_lines == 4 for r in out if r.row.doc_id < 1000)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = mark_repeated_lines(odd_docs).collect()
     assert len(out) == odd_docs.count()
