@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,6 +189,17 @@ def _packed(counts: dict[int, int], tile: int) -> dict[int, tuple[int, int]]:
     return out
 
 
+def _runs(tiles: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """First and last of each unbroken run of tiles, from nodes' first tiles and numbers of them."""
+    out: list[tuple[int, int]] = []
+    for first, parts in sorted(tiles):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], first + parts - 1))
+        else:
+            out.append((first, first + parts - 1))
+    return out
+
+
 def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of each query's k highest scores, ties to the smaller vec_id.
 
@@ -272,13 +283,13 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
     meet = most_possible(nodes("q", asking), nodes("d", stats)) >= np.array([x.worst for x in asking])[:, None]
     q_tiles = _packed({x.top: x.queries for x in asking}, QUERY_TILE)
     d_tiles = _packed({x.top: x.n for x in stats}, tile)
-    # For each node: its tiles, and the tiles of the other side that it has to meet.
-    spread = lambda pair: range(pair[0], pair[0] + pair[1])
-    data_side = [(x.top, *d_tiles[x.top], sorted({t for i in np.flatnonzero(meet[:, j]) for t in spread(q_tiles[asking[i].top])})) for j, x in enumerate(stats) if meet[:, j].any()]
-    query_side = [(x.top, *q_tiles[x.top], sorted({t for j in np.flatnonzero(meet[i]) for t in spread(d_tiles[stats[j].top])})) for i, x in enumerate(asking)]
-    ddl = "top int, first int, parts int, others array<int>"
+    # For each node: its tiles, and the runs of tiles of the other side that it has to meet.
+    data_side = [(x.top, *d_tiles[x.top], _runs(q_tiles[asking[i].top] for i in np.flatnonzero(meet[:, j]))) for j, x in enumerate(stats) if meet[:, j].any()]
+    query_side = [(x.top, *q_tiles[x.top], _runs(d_tiles[stats[j].top] for j in np.flatnonzero(meet[i]))) for i, x in enumerate(asking)]
+    ddl = "top int, first int, parts int, others array<struct<begin: int, end: int>>"
+    other = F.explode(F.flatten(F.transform("others", lambda r: F.sequence(r["begin"], r["end"]))))
     own = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    on_side = lambda df, side: df.join(F.broadcast(spark.createDataFrame(side, ddl)), "top").withColumn("own", own).withColumn("other", F.explode("others"))
+    on_side = lambda df, side: df.join(F.broadcast(spark.createDataFrame(side, ddl)), "top").withColumn("own", own).withColumn("other", other)
     d = on_side(placed, data_side).select("row", "id", "nameless", "embedding", "floor", F.lit(False).alias("asks"), F.col("other").alias("qt"), F.col("own").alias("dt"))
     q = on_side(placed.where("query"), query_side).select("row", "id", "nameless", "embedding", "floor", F.lit(True).alias("asks"), F.col("own").alias("qt"), F.col("other").alias("dt"))
 

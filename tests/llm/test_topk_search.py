@@ -62,6 +62,11 @@ def test_large_components_stay_exact(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_runs_of_tiles():
+    assert topk_search._runs([]) == []
+    assert topk_search._runs([(4, 2), (0, 1), (0, 1), (1, 1), (7, 3)]) == [(0, 1), (4, 5), (7, 9)]
+
+
 def test_scores_beyond_longs_keep_their_order(spark):
     rows = [(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [2e30, 1.0]), (3, [-1e30, 0.0]), (4, [-2e30, 0.0])]
     out = got(spark, rows)
