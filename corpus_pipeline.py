@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import dropped, new_path, scratch, table
+from corvane.llm.common import dropped, new_path, scratch, table, written
 from corvane.llm.jaccard_join import drop_near_duplicates
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import REST, WEIGHTS, mix
@@ -21,6 +21,7 @@ from corvane.llm.sentencepiece_op import PieceTokenizer, default_model
 
 
 GROUPS = 1000  # files whose rows are summed up in one task
+MOST_FILES = 400_000  # whose places are broadcast
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,7 +92,9 @@ def _placed(docs: DataFrame) -> DataFrame:
 
     Files have one row each in a table of their sizes; running sums over it are
     made in two steps, by ranges of GROUPS part numbers, so that no task
-    meets all files. Joined by its size, not broadcast by hand.
+    meets all files. That table is written and counted: up to MOST_FILES rows
+    (some 50 MB) it is broadcast, so that no text is shuffled; beyond that it
+    meets the rows in a plain join, with the same result.
     """
     try:
         rows = docs.select("doc_id", "source", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
@@ -104,6 +107,9 @@ def _placed(docs: DataFrame) -> DataFrame:
     firsts = grouped.groupBy("group").agg(F.sum("n").alias("m")).select("group", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("group").orderBy("number", "file").rowsBetween(Window.unboundedPreceding, -1)
     starts = grouped.select("group", "file", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("start")).join(firsts, "group").select("file", (F.col("first") + F.col("start")).alias("start"))
+    starts, _ = written(starts, "file-starts")
+    if starts.count() <= MOST_FILES:
+        starts = F.broadcast(starts)
     return rows.join(starts, "file").select("doc_id", "source", "text", (F.col("start") + F.col("row")).alias("mix_pos"))
 
 
