@@ -1,0 +1,87 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from oracle import SF, connect, same
+
+from corvane.llm import lexical_search as module
+from corvane.llm.lexical_search import block_of, op11_ranked_search, ranked_search, spaced, terms_of
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_terms(text):
+    return TERM.findall((text or "").translate(LOWER))
+
+
+def brute(docs, items, top=20):
+    """Rows (item_id, rank, doc_id, score) by the definition."""
+    own = [(i, plain_terms(t)) for i, t in docs]
+    n_docs, n_terms = sum(bool(t) for _, t in own), sum(len(t) for _, t in own)
+    df = Counter(x for _, t in own for x in set(t))
+    out = []
+    for item, text in items:
+        rows = []
+        for i, t in own:
+            tf, score = Counter(t), 0
+            for x in plain_terms(text):
+                if tf[x]:
+                    m = 100 - 25 + 25 * len(t) * n_docs // n_terms
+                    score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * (1000000000 * tf[x] // (1000 * tf[x] + 12 * m))
+            if score > 0:
+                rows.append((-score, i is None, i or 0, i))
+        out += [(item, k + 1, r[3], -r[0]) for k, r in enumerate(sorted(rows)[:top])]
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in df.collect()), key=repr)
+
+
+def test_query_matches_sql(spark):
+    same(op11_ranked_search(spark, SF), module.SQL, connect())
+
+
+@given(st.text(st.sampled_from("aZé0 .-\x00\x7f\U0001d4b3_")))
+def test_terms(text):
+    assert terms_of(text) == plain_terms(text)
+
+
+@given(st.text(st.sampled_from("abé ,")), st.lists(st.text(st.sampled_from("abé"), min_size=1, max_size=3), max_size=6))
+def test_only_whole_terms_are_found(text, terms):
+    block = block_of([terms])
+    assert Counter(block.terms[k] for k in block.found(spaced(text))) == Counter(t for t in plain_terms(text) if t in terms)
+
+
+ITEMS = [(0, "one two three"), (1, "nine nine NINE words"), (1, "nine nine NINE words"), (2, None), (3, "..."), (None, "lorem tail"), (4, "absent"), (5, "日本 \U0001d4b3 café x" + "x" * 199_999), (6, "text text under number")]
+
+
+@pytest.mark.parametrize("blocks", [1024, 2])
+@pytest.mark.parametrize("top", [1, 3, 20])
+def test_odd_rows(spark, odd_docs, no_docs, monkeypatch, blocks, top):
+    monkeypatch.setattr(module, "BLOCK_ITEMS", blocks)
+    items = spark.createDataFrame([(*r, "x", "y") for r in ITEMS], "item_id long, text string, doc_id string, `rank` string")
+    docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    assert got(ranked_search(odd_docs, items, top)) == brute(docs, ITEMS, top)
+    assert ranked_search(no_docs, items).count() == 0 and ranked_search(odd_docs, items.limit(0)).count() == 0
+
+
+def test_many_ties_and_tasks(spark, monkeypatch):
+    """A word in every document and texts that repeat: ranks go by doc_id, whatever task found them."""
+    monkeypatch.setattr(module, "SCORES", 30)
+    rows = [(k * 7 % 500, ["common words here", "common", "other thing, common", ""][k % 4]) for k in range(500)]
+    items = [(10, "common"), (11, "words thing"), (12, "here common common")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert got(ranked_search(docs, spark.createDataFrame(items, "item_id long, text string"))) == brute(rows, items)
+
+
+def test_blocks_are_bounded(monkeypatch):
+    monkeypatch.setattr(module, "BLOCK_TERMS", 5)
+    rows = [type("R", (), {"item_id": k, "text": " ".join(f"t{k}x{j}" for j in range(n))}) for k, n in enumerate([2, 2, 2, 9, 1, 5])]
+    made = list(module.blocks_of(rows))
+    assert [ids for ids, _ in made] == [[0, 1], [2], [3], [4], [5]]
+    assert all(len(b.terms) <= 5 or b.items == 1 for _, b in made)
