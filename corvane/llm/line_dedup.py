@@ -28,19 +28,25 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 
 def _removals(docs: DataFrame) -> DataFrame:
-    """For each document that loses lines: its key and the numbers of those lines."""
+    """For each document that loses lines: its key and the numbers of those lines.
+
+    Windows that occur more than once are written first: Spark splits a join on
+    a very common one only where neither side is an aggregate.
+    """
     windows = _windows(docs)
-    repeated = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
-    found = windows.join(repeated, "w").select("id", "twin", "pos", "w", F.coalesce(~F.col("id").eqNullSafe(F.col("first")), F.lit(False)).alias("elsewhere"))
+    repeated, _ = written(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n"), "repeated")
+    met = windows.join(repeated, "w")
+    # The hash is made anew here: rows dealt by it already would be told apart where they are, and Spark couldn't split the join.
+    found = met.select("id", "twin", "pos", F.substring("w", 1, 16).alias("w"), F.coalesce(~F.col("id").eqNullSafe(F.col("first")), F.lit(False)).alias("elsewhere"))
     in_doc = Window.partitionBy("id", "twin", "w").orderBy("pos")
-    ranked = found.repartition("id", "twin").select(
-        "id", "twin", "pos", "elsewhere", (F.rank().over(in_doc) > 1).alias("later"), (F.count(F.lit(1)).over(in_doc) > 1).alias("twice"),
+    ranked = found.distinct().repartition("id", "twin").select(  # a row that is there twice adds nothing
+        "id", "twin", "pos", "elsewhere", (F.rank().over(in_doc) > 1).alias("later"),
         (F.max("pos").over(in_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > F.col("pos")).alias("again"),
     )
     covers = lambda which: F.flatten(F.transform(F.collect_set(F.when(which, F.col("pos"))), lambda p: F.array(*(p + i for i in range(WINDOW)))))
     elsewhere, later = F.col("elsewhere"), F.col("later")
     here = F.array_except(covers(~elsewhere & later), covers(~elsewhere & ~later & F.col("again")))
-    gone = F.array_except(F.array_union(covers(elsewhere), here), covers(~elsewhere & ~later & F.col("twice")))
+    gone = F.array_union(covers(elsewhere), here)
     return ranked.groupBy("id", "twin").agg(gone.alias("gone")).where(F.size("gone") > 0)
 
 
@@ -70,8 +76,8 @@ def mark_repeated_lines(docs: DataFrame) -> DataFrame:
     loses doesn't depend on later ones, such as copies of it. Texts of fewer
     than three lines have no window and stay as they are, as do empty and null
     ones (0 lines for null). Rows of one doc_id are the same document: none is
-    later than another, and windows of a row that is there twice stay whole
-    where they come first. A null doc_id comes after all others. Texts of any
+    later than another, and a row that is there twice loses what it would lose
+    alone, in both places. A null doc_id comes after all others. Texts of any
     length are taken whole; an empty table stays empty, and other columns pass
     in ``row`` whatever their names.
 
@@ -121,17 +127,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-    e AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM d),
-    w AS (SELECT doc_id, i - 1 AS pos, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS w FROM e),
+    WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+    e AS (SELECT doc_id, text, lines, unnest(range(1, len(lines) - 1)) AS i FROM d),
+    w AS (SELECT doc_id, text, i - 1 AS pos, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS w FROM e),
     g AS (SELECT w, min(doc_id) AS f FROM w GROUP BY w HAVING count(*) > 1),
-    o AS (SELECT doc_id, pos, doc_id > f AS elsewhere, pos > min(pos) OVER (PARTITION BY doc_id, w.w) AS later, pos < max(pos) OVER (PARTITION BY doc_id, w.w) AS again
+    o AS (SELECT doc_id, text, pos, doc_id IS DISTINCT FROM f AS elsewhere, pos > min(pos) OVER (PARTITION BY doc_id, text, w.w) AS later, pos < max(pos) OVER (PARTITION BY doc_id, text, w.w) AS again
           FROM w JOIN g ON w.w = g.w),
-    c AS (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p, elsewhere, later AND NOT elsewhere AS here, NOT later AND NOT elsewhere AND again AS first_here FROM o),
-    r AS (SELECT doc_id, p FROM c GROUP BY doc_id, p HAVING bool_or(elsewhere) OR (bool_or(here) AND NOT bool_or(first_here))),
-    x AS (SELECT doc_id, list(p) AS gone FROM r GROUP BY doc_id)
-    SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    c AS (SELECT doc_id, text, unnest([pos, pos + 1, pos + 2]) AS p, elsewhere, later AND NOT elsewhere AS here, NOT later AND NOT elsewhere AND again AS first_here FROM o),
+    r AS (SELECT doc_id, text, p FROM c GROUP BY doc_id, text, p HAVING bool_or(elsewhere) OR (bool_or(here) AND NOT bool_or(first_here))),
+    x AS (SELECT doc_id, text, list(p) AS gone FROM r GROUP BY doc_id, text),
+    t AS (SELECT d.doc_id, d.text, gone, string_split(d.text, chr(10)) AS lines FROM documents d LEFT JOIN x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text)
+    SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
            CASE WHEN gone IS NULL THEN text
                 ELSE coalesce(array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text
-    FROM d LEFT JOIN x ON d.doc_id = x.doc_id
+    FROM t
 """
