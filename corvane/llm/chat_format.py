@@ -77,18 +77,30 @@ def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def known_by(layout: Layout) -> list[tuple[str, ...]]:
+    """Sets of paths that a layout is known by; an empty list of turns is known by its name alone."""
+    return [layout.paths, (f"{layout.turns[0]}[]",)] if layout.turns else [layout.paths]
+
+
 def prints_of(layouts: tuple[Layout, ...]) -> dict[str, Layout]:
-    """Layouts by the fingerprints of their paths; an empty list of turns is known by its name alone."""
-    return {fingerprint(p): x for x in layouts for p in ((x.paths, (f"{x.turns[0]}[]",)) if x.turns else (x.paths,))}
+    """Layouts by the fingerprints of their paths."""
+    return {fingerprint(p): x for x in layouts for p in known_by(x)}
 
 
 def recognise(paths: Iterable[str], prints: dict[str, Layout]) -> Layout | None:
-    """The layout that the paths' fingerprint names; failing that, the one named once paths that no layout has are left aside."""
+    """The layout that the paths' fingerprint names; failing that, one whose own paths are all there, each known by their fingerprint.
+
+    Of several the one of most paths, then one with a list of turns. Layouts of
+    rows that are still equal go by their order; records whose layouts are, such
+    as one of a question with two answers, have none.
+    """
     found = set(paths)
     if exact := prints.get(fingerprint(found)):
         return exact
-    known = {p for x in prints.values() for p in x.paths}
-    return prints.get(fingerprint(found & known)) or prints.get(fingerprint(found & {f"{x.turns[0]}[]" for x in prints.values() if x.turns}))
+    inside = [(len(own), x.turns is not None, x) for x in dict.fromkeys(prints.values()) for own in known_by(x) if prints.get(fingerprint(found.intersection(own))) is x]
+    most = max((m[:2] for m in inside), default=None)
+    best = [x for *m, x in inside if tuple(m) == most]
+    return best[0] if len(best) == 1 or best and best[0].rows else None
 
 
 def _tidy(turns: Column) -> Column:
@@ -167,25 +179,27 @@ def _reader(layouts: tuple[Layout, ...]):
 def canonical_turns(chats: DataFrame, layouts: tuple[Layout, ...] | None = None, row_layouts: tuple[Layout, ...] | None = None) -> DataFrame:
     """``conv_id``, ``layout`` and ``turns`` (role, text) of conversations in any known layout.
 
-    chats has a column ``record`` beside ``conv_id``, or is a table with one row
-    for each turn. A fingerprint, a hash of nested field paths, picks the
-    mapping: that of the table's columns, that of a struct record's type, or,
-    for JSON texts, that of each record's own paths. Fields that no layout has
-    are left aside, as are extra columns whatever their names.
-
-    A table or struct of no known layout is an error; a JSON text of none, and
-    one that is null or no JSON object, gets a null layout and null turns. A
-    null role or text is empty, a null turn is left out. Rows are in the
-    order given (null first), then by role and text; rows that repeat are turns
-    of their own, and those of a null key are one conversation. An empty table
-    stays empty. A conversation is gathered whole, however long its texts,
-    being one formatted text in the end.
+    chats is a table with one row for each turn or, if its columns make none of
+    the layouts of rows, has a column ``record`` beside ``conv_id``. A
+    fingerprint, a hash of nested field paths, picks the mapping: that of the
+    table's columns, that of a struct record's type, or, for JSON texts, that of
+    each record's own paths. Fields and columns beyond a layout's are left
+    aside, whatever their names, those of other layouts too (see recognise).
+
+    A table or struct of no known layout is an error; a JSON text of none or of
+    two alike, and one that is null or no JSON object, gets a null layout and
+    null turns. A null role or text is empty, a null turn is left out. Rows are
+    in the order given (null first), then by role and text; rows that repeat are
+    turns of their own. Rows of a null key are one conversation, however many. An
+    empty table stays empty. A conversation, that of the null key too, is
+    gathered whole in one task, however long its texts, being one formatted text
+    in the end.
     """
     layouts, row_layouts = LAYOUTS if layouts is None else layouts, ROW_LAYOUTS if row_layouts is None else row_layouts
-    if "record" not in chats.columns:
-        layout = recognise([f.name for f in chats.schema], prints_of(row_layouts))
-        if layout is None:
-            raise ValueError(f"no layout has the columns {sorted(chats.columns)}")
+    layout = recognise(chats.columns, prints_of(row_layouts))
+    if layout is None and "record" not in chats.columns:
+        raise ValueError(f"no layout has the columns {sorted(chats.columns)}")
+    if layout is not None:
         key, *fields = layout.rows
         rows = chats.select(F.col(key).alias("conv_id"), F.struct(*(F.col(f"`{f}`").alias(x) for f, x in zip(fields, ("nth", "role", "text")))).alias("turn"))
         grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("m"))

@@ -48,6 +48,10 @@ RECORDS = [
     ({"messages": [{"role": "user"}, {"content": "x"}, None, {}]}, [("user", ""), ("", "x"), ("", "")]),
     ({"messages": [{"role": "user", "content": [{"type": "text", "text": "parts"}]}]}, None),
     ({"prompt": "p", "completion": "c", "response": "r"}, None),
+    ({"prompt": "p", "messages": [{"role": "user", "content": "a"}]}, [("user", "a")]),
+    ({"prompt": "p", "completion": "c", "messages": [{"role": "user", "content": "a"}]}, [("user", "a")]),
+    ({"prompt": "p", "instruction": "i", "input": "x", "output": "o", "turns": []}, [("user", "i\n\nx"), ("assistant", "o")]),
+    ({"messages": [{"role": "user", "content": "a"}], "turns": [{"role": "user", "text": "b"}]}, None),
     ({"messages": None}, None),
     ("not an object", None),
 ]
@@ -91,6 +95,23 @@ def test_rows_by_their_columns(spark):
         canonical_turns(df.drop("role"))
 
 
+COLUMNS = sorted({p.split("[")[0] for x in LAYOUTS for p in x.paths} | {p for x in ROW_LAYOUTS for p in x.paths} | {"record", "layout", "turn", "m", "nth", "made", "read"})
+
+
+@pytest.mark.parametrize("layout", ROW_LAYOUTS, ids=lambda x: x.name)
+def test_columns_of_other_layouts_change_nothing(spark, layout):
+    key, nth, role, text = layout.rows
+    rows = [(1, 1, "gpt", "b"), (1, 0, "human", "a"), (None, 0, "user", "c"), (2, 0, None, None)]
+    df = spark.createDataFrame(rows, f"{key} long, {nth} long, {role} string, {text} string")
+    want = sorted(map(repr, canonical_turns(df).collect()))
+    assert len(want) == 3
+    own = [c for c in COLUMNS if c not in layout.rows]
+    together = own if layout is ROW_LAYOUTS[0] else [c for c in own if c not in ROW_LAYOUTS[0].paths]
+    for extra in (*([c] for c in own), together):
+        for value in (F.lit('{"prompt": "p", "completion": "c"}'), F.lit(None).cast("array<struct<role: string, content: string>>")):
+            assert sorted(map(repr, canonical_turns(df.withColumns({c: value for c in extra})).collect())) == want
+
+
 def test_mappings_decide_in_the_query(spark, monkeypatch):
     whole = {r.conv_id: r for r in op9_chat_format(spark, SF).collect()}
     assert whole[-1].n_turns == 2
