@@ -167,14 +167,14 @@ def _ranked(units: list[np.ndarray], ends: np.ndarray, last: np.ndarray) -> tupl
     return pointers, letter, node[entry], cost[entry]
 
 
-def _walk(pointers: list[np.ndarray], letter: np.ndarray, start: int) -> tuple[str, int]:
-    """The letters from a node to the end of its path, and the state there: places 2**k and on are those before, 2**k arcs further."""
-    path = np.array([start])
+def _walks(pointers: list[np.ndarray], letter: np.ndarray, start: np.ndarray) -> list[str]:
+    """The letters from some nodes to the ends of their paths: places 2**k and on are those before, 2**k arcs further."""
+    path = start[:, None]
     for p in pointers:
-        if not letter[path[-1]]:
+        if not letter[path[:, -1]].any():
             break
-        path = np.concatenate([path, p[path]])
-    return _LETTERS[letter[path[letter[path] > 0]]].tobytes().decode(), int(pointers[-1][start] % 4)
+        path = np.concatenate([path, p[path]], axis=1)
+    return [row.tobytes().rstrip(b"\0").decode() for row in _LETTERS[letter[path]]]
 
 
 def audits(conversations: list[bytes]) -> tuple[list[int], list[str]]:
@@ -205,13 +205,14 @@ def audits(conversations: list[bytes]) -> tuple[list[int], list[str]]:
             longest = max(longest, len(units[at + to]))
             to += 1
         pointers, letter, start, cost = _ranked(units[at : at + to], np.array(ends[at : at + to]), np.array(last[at : at + to]))
+        leads, states = pointers[-1][start] % 4, np.zeros(to, np.int64)
         for u in range(to):
+            states[u] = state
             if begins:
                 costs.append(int(cost[u, 0]))
-            part, state = _walk(pointers, letter, int(start[u, state]))
-            parts.append(part)
-            if begins := last[at + u]:
-                state = 0
+            begins = last[at + u]
+            state = 0 if begins else int(leads[u, state])
+        parts += _walks(pointers, letter, start[np.arange(to), states])
         at += to
     part, cost = iter(parts), iter(costs)
     return [next(cost) if own else 0 for own in cut], ["".join(next(part) for _ in own) for own in cut]
@@ -221,14 +222,12 @@ def _solved(codes: pa.Array) -> pa.Array:
     """Counts of faults and of ill-matched neighbours, cost and audit of each conversation's letters."""
     texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in codes]
     costs, found = audits(texts)
-    counts = []
-    for t in texts:
-        c = np.frombuffer(t, np.uint8).astype(np.int64) - 65
-        pairs = (c[:-1] & 3) * 4 + (c[1:] & 3)
-        counts.append((*(int(np.sum(c >> 2 == k)) for k in (1, 2, 3)), int(np.sum(~np.isin(pairs, _LEGAL)))))
-    names = (*FAULTS[1:], "illegal", "cost")
-    columns = [pa.array(v, pa.int64()) for v in (*(zip(*counts) if counts else [()] * 4), costs)]
-    return pa.StructArray.from_arrays([*columns, pa.array(found, pa.string())], [*names, "audit"])
+    whole = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) - 65
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    count = lambda which, of: np.bincount(of[which], minlength=len(texts)).astype(np.int64)
+    ill = (owner[:-1] == owner[1:]) & ~np.isin((whole[:-1] & 3) * 4 + (whole[1:] & 3), _LEGAL)
+    columns = [*(count(whole >> 2 == k, owner) for k in (1, 2, 3)), count(ill, owner[1:]), np.array(costs, np.int64)]
+    return pa.StructArray.from_arrays([*map(pa.array, columns), pa.array(found, pa.string())], [*FAULTS[1:], "illegal", "cost", "audit"])
 
 
 _LEGAL = [0 * 4 + 1, 1 * 4 + 2, 2 * 4 + 1]  # su, ua, au
