@@ -7,7 +7,7 @@ import sentencepiece
 from oracle import SF
 
 from corvane.llm.sentencepiece_op import default_model
-from corvane.llm.token_files import END_ID, count_tokens, document_tokens, op7_token_counts, placed_counts, write_token_files
+from corvane.llm.token_files import END_ID, count_tokens, document_tokens, op7_token_counts, placed_counts, write_placed_tokens, write_token_files
 
 LIB = sentencepiece.SentencePieceProcessor(model_file=default_model())
 
@@ -80,13 +80,49 @@ def test_a_table_that_changes_is_an_error(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, nth string").coalesce(1).write.parquet(f"{tmp_path}/a")
     spark.createDataFrame(rows[:4], "doc_id long, text string, nth string").coalesce(1).write.parquet(f"{tmp_path}/b")
     a, b = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b")
-    write_token_files(a, f"{tmp_path}/t", default_model())
+    write_placed_tokens(a, f"{tmp_path}/t", default_model())
     counted = count_tokens(spark, f"{tmp_path}/t")
     assert placed_counts(a, counted).count() == 5
     with pytest.raises(RuntimeError):
         placed_counts(b, counted)
 
 
+def test_places_do_not_rest_on_how_a_scan_is_cut(spark, tmp_path):
+    """Files of many row groups, read in other splits by each scan, as when the cluster's size changes between them."""
+    df = spark.range(6000).selectExpr("id AS doc_id", "concat('number ', repeat('x y ', CAST(id % 37 AS INT)), id) AS text", "'c' AS source", "'d' AS at")
+    df.repartition(2).write.option("parquet.block.size", 20_000).option("parquet.page.size", 1000).parquet(f"{tmp_path}/d")
+    want = sorted((i, len(LIB.encode(t))) for i, t in df.select("doc_id", "text").collect())
+    cuts = ({"maxPartitionBytes": "16k", "openCostInBytes": "1k"}, {"minPartitionNum": "1"}, {"maxPartitionBytes": "40k", "minPartitionNum": "3"})
+    seen = set()
+
+    def under(cut, f):
+        for k, v in cut.items():
+            spark.conf.set(f"spark.sql.files.{k}", v)
+        try:
+            seen.add(spark.read.parquet(f"{tmp_path}/d").rdd.getNumPartitions())
+            return f(spark.read.parquet(f"{tmp_path}/d"))
+        finally:
+            for k in cut:
+                spark.conf.unset(f"spark.sql.files.{k}")
+
+    for n, (first, second) in enumerate([(cuts[0], cuts[1]), (cuts[1], cuts[0]), (cuts[2], cuts[0])]):
+        under(first, lambda docs: write_placed_tokens(docs, f"{tmp_path}/t{n}", default_model()))
+        counted = count_tokens(spark, f"{tmp_path}/t{n}")
+        got = under(second, lambda docs: [tuple(r) for r in placed_counts(docs, counted).collect()])
+        assert sorted(got) == want
+    assert len(seen) == 3
+
+
+def test_an_opener_is_an_argument_of_the_query(spark):
+    opened = spark.sparkContext.accumulator(0)
+
+    def opener(path):
+        opened.add(1)
+        return open(path.removeprefix("file:"), "rb")
+
+    assert op7_token_counts(spark, SF, opener).count() == spark.read.parquet(f"{SF}/documents.parquet").count() and opened.value > 0
+
+
 def test_odd_number_of_bytes_is_an_error(spark, tmp_path):
     Path(tmp_path, "part-0.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="multiple of element size"):
