@@ -1,13 +1,32 @@
-"""Connected components of an edge table, by alternating star contractions."""
+"""Connected components: of an edge table, by alternating star contractions, and within a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import dropped, written
 
 
+class LocalClasses:
+    """Positions of one task joined step by step; smaller classes take the label of the largest."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.members: dict[int, np.ndarray] = {}
+
+    def join(self, some: np.ndarray) -> None:
+        labels = np.unique(self.label[some])
+        if len(labels) > 1:
+            own = [self.members.pop(int(x), np.array([x])) for x in labels]
+            most = int(np.argmax([len(m) for m in own]))
+            for k, m in enumerate(own):
+                if k != most:
+                    self.label[m] = labels[most]
+            self.members[int(labels[most])] = np.concatenate(own)
+
+
 def _with_least(edges: DataFrame) -> tuple[DataFrame, str]:
     """Each edge (u, v) with the least of u and all v of that u, and the path of the table that holds the least ones.
 

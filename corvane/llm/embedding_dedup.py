@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import bounded_batches, dropped, table, written
-from corvane.llm.components import components
+from corvane.llm.components import LocalClasses, components
 from corvane.llm.vectors import finite, k_means, matrix, nearest, squares
 
 COSINE = 0.98
-SAMPLE = 10_000  # most vectors that the index is fitted on
-LIST_ROWS, MOST_LISTS = 1000, 512
+LIST_ROWS, MOST_LISTS = 1000, 4096  # rows of a label for each list, as long as lists are fewer than that
+LEAST_SAMPLE, FIT_ROWS = 10_000, 20  # vectors that the index is fitted on: so many, or so many for each list
+MOST_TILED = 400_000  # lists whose tile counts are broadcast
 SUBSPACES, CODEWORDS = 8, 32
 TILE = 2048
 _EPS = 1e-6
@@ -79,11 +80,11 @@ def _links(pdf: pd.DataFrame, index: dict[int, Index], cosine: float) -> pd.Data
     query = np.flatnonzero(~pdf["entry"].to_numpy())
     guest = pdf["guest"].to_numpy()
     reach = np.sqrt(2 - 2 * cosine)
-    near, label = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
-    # The same node may stand here as a query and as an entry: both get its first place's label.
-    first = {}
-    for p, x in enumerate(node):
-        label[p] = first.setdefault(x, p)
+    near, classes = np.zeros(len(pdf), np.int64), LocalClasses(len(pdf))
+    # The same node may stand here as a query and as an entry: both are of one class.
+    _, first, back = np.unique(node, return_index=True, return_inverse=True)
+    for p in np.flatnonzero(first[back] != np.arange(len(node))):
+        classes.join(np.array([first[back[p]], p]))
     known = index.get(dim)
     if known is not None:
         residual = unit[entry] - known.centres[home]
@@ -107,11 +108,11 @@ def _links(pdf: pd.DataFrame, index: dict[int, Index], cosine: float) -> pd.Data
         near[q] += linked @ copies[entry]
         near[entry] += (copies[q] * guest[q]) @ linked
         for i in np.flatnonzero(linked.any(1)):
-            old = np.unique(np.append(label[entry[linked[i]]], label[q[i]]))
-            label[np.isin(label, old)] = old[0]
+            classes.join(np.append(entry[linked[i]], q[i]))
     low = np.full(len(pdf), np.iinfo(np.int64).max)
-    np.minimum.at(low, label, node)
-    return pd.DataFrame({"node": node, "near": near, "root": low[label]})[(near > 0) | (low[label] != node)]
+    np.minimum.at(low, classes.label, node)
+    root = low[classes.label]
+    return pd.DataFrame({"node": node, "near": near, "root": root})[(near > 0) | (root != node)]
 
 
 def embedding_classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -132,7 +133,10 @@ def embedding_classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     to each other one's nodes ask the other.
     Look-up distances only rule out entries that the coding error can't bring
     near enough, so no link is lost. Large lists are dealt in tiles of TILE
-    queries and TILE entries; tiles return counts and one edge for each node.
+    queries and TILE entries, straight from where the vectors lie, so no list
+    meets in one task; tiles return counts and one edge for each node. Lists
+    grow with the largest label up to MOST_LISTS; from some four million vectors
+    of a label on, lists grow instead.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -143,9 +147,9 @@ def embedding_classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     grouped = rows.where("part").groupBy("s", "t").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     nodes, nodes_path = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    sample = nodes.orderBy(F.xxhash64("label", "embedding"), "node").limit(SAMPLE).select("embedding").toPandas()["embedding"]
     most = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     lists = int(np.clip(most // LIST_ROWS, 1, MOST_LISTS))
+    sample = nodes.orderBy(F.xxhash64("label", "embedding"), "node").limit(max(LEAST_SAMPLE, FIT_ROWS * lists)).select("embedding").toPandas()["embedding"]
     index = {d: fit_index(_unit(matrix(sample[sample.map(len) == d])), lists) for d in sorted(set(map(len, sample)))}
     shared = spark.sparkContext.broadcast(index)
     reach = float(np.sqrt(2 - 2 * cosine)) + _EPS
@@ -173,29 +177,33 @@ def embedding_classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     queries = placed.select("node", "label", "dim", F.explode("asks").alias("asked"), "embedding", "copies", F.lit(False).alias("entry"), "list").select(
         "node", "label", "dim", F.col("asked").alias("list"), "embedding", "copies", "entry", (F.col("asked") != F.col("list")).alias("guest")
     )
-    tiles = (
+    counts = (
         placed.groupBy(*key).agg(F.count(F.lit(1)).alias("e"))
         .join(placed.select("label", "dim", F.explode("asks").alias("list")).groupBy(*key).agg(F.count(F.lit(1)).alias("q")), key)
         .select(*key, F.ceil(F.col("e") / TILE).alias("et"), F.ceil(F.col("q") / TILE).alias("qt"))
     )
+    tiles, tiles_path = written(counts, "list-tiles")  # a join with it brings no list together: it is broadcast, or split
+    if tiles.count() <= MOST_TILED:
+        tiles = F.broadcast(tiles)
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = entries.join(tiles, key).withColumn("i", own("et")).withColumn("j", every("qt")).unionByName(
         queries.join(tiles, key).withColumn("j", own("qt")).withColumn("i", every("et"))
     )
-    found, _ = written(
+    found, found_path = written(
         dealt.groupBy(*key, "i", "j").applyInPandas(lambda pdf: _links(pdf, shared.value, cosine), "node long, near long, root long"), "near-vectors"
     )
     links = found.groupBy("node").agg(F.sum("near").alias("near"))
     roots = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    full = (
+    every_node = (
         nodes.select("node", "least", "copies").join(links, "node", "left").join(roots, "node", "left")
         .select("node", "least", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
-    least = full.groupBy("root").agg(F.min("least").alias("component_id"))
+    full, full_path = written(every_node, "vector-roots")
+    least, least_path = written(full.groupBy("root").agg(F.min("least").alias("component_id")), "vector-least")
     classes = full.join(least, "root").select("node", "n_links", "component_id")
     of_node, _ = written(nodes.select("s", "t", "node").join(classes, "node").select("s", "t", "n_links", "component_id"), "vector-classes")
-    dropped(spark, nodes_path, placed_path)
+    dropped(spark, nodes_path, placed_path, tiles_path, found_path, full_path, least_path)
     linked = rows.where("part").select("vec_id", "s", "t").join(of_node, ["s", "t"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT part").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

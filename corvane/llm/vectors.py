@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+CELLS = 1 << 22  # distances held at once
+
 
 def finite(vector: str) -> Column:
     """Whether a vector is there and all its components are finite numbers."""
@@ -45,4 +47,6 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return squares(points, centres).argmin(1)
+    step = max(1, CELLS // max(1, len(centres)))
+    parts = [squares(points[at : at + step], centres).argmin(1) for at in range(0, len(points), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)

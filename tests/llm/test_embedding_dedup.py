@@ -1,5 +1,3 @@
-import os
-
 import numpy as np
 import pytest
 from oracle import SF, connect, same as same_rows
@@ -72,22 +70,50 @@ def test_odd_vectors(spark):
     assert all(got[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 12, -3))
 
 
-def test_every_link_is_found_among_large_groups(spark):
-    path = "/root/testdata/check_h/embeddings.parquet"
-    if not os.path.exists(path):
-        pytest.skip("the table isn't there")
-    table = spark.read.parquet(path)
-    rows = [(r.vec_id, r.embedding, r.label) for r in table.collect()]
-    want = {r[0]: 0 for r in rows}
-    for label in {r[2] for r in rows} - {None}:
-        own = [r for r in rows if r[2] == label and r[1]]
-        unit = np.array([r[1] for r in own], float)
+def test_every_link_is_found_among_large_groups(spark, monkeypatch):
+    """One group of copies and one of near copies with a third of a label's vectors each, in lists of several tiles, beside many small ones."""
+    for name, value in (("LIST_ROWS", 100), ("TILE", 400)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    draw = np.random.default_rng(11)
+    groups = [np.tile(draw.standard_normal(24), (1000, 1)), draw.standard_normal(24) + 0.11 * draw.standard_normal((1200, 24)), draw.standard_normal((600, 24))]
+    groups += [draw.standard_normal(24) + 0.1 * draw.standard_normal((5, 24)) for _ in range(80)]
+    points = np.concatenate(groups).astype(np.float32)[draw.permutation(3200)]
+    labels = draw.choice([1, 1, 1, 2], len(points))
+    want = {}
+    for label in (1, 2):
+        own = np.flatnonzero(labels == label)
+        unit = points[own].astype(float)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        for at in range(0, len(own), 500):
-            near = (unit[at : at + 500] @ unit.T >= 0.98).sum(1) - 1
-            want |= {r[0]: int(n) for r, n in zip(own[at : at + 500], near)}
-    got = {r.vec_id: r.n_links for r in embedding_classes(table).collect()}
-    assert got == want and sum(got.values()) > 10_000
+        linked = unit @ unit.T >= 0.98
+        np.fill_diagonal(linked, False)
+        least = own.copy()
+        while True:
+            new = np.minimum(least, np.where(linked, least, len(points)).min(1))
+            if (new == least).all():
+                break
+            least = new
+        want |= {int(i): (int(n), int(c)) for i, n, c in zip(own, linked.sum(1), least)}
+    table = spark.createDataFrame([(i, points[i].tolist(), int(labels[i])) for i in range(len(points))], "vec_id long, embedding array<float>, label int").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_classes(table).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 500_000
+
+
+def test_no_list_meets_in_a_join(spark, monkeypatch):
+    """Vectors meet the tiles' table where they lie; only tiles are gathered."""
+    monkeypatch.setattr(embedding_dedup, "LIST_ROWS", 50)
+    plans, real = {}, embedding_dedup.written
+
+    def watch(df, what):
+        out = real(df, what)
+        if what == "near-vectors":
+            plans[what] = df._jdf.queryExecution().optimizedPlan().toString()
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "written", watch)
+    draw = np.random.default_rng(1)
+    table = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(draw.standard_normal((400, 8)))], "vec_id long, embedding array<float>, label int")
+    assert embedding_classes(table).count() == 400
+    assert plans["near-vectors"].count("rightHint=(strategy=broadcast)") == 2
 
 
 def test_lists_ask_each_other_once():
