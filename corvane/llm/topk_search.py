@@ -17,7 +17,8 @@ from corvane.llm.vectors import finite, matrix, nearest, squares
 K, SCALE, EVERY = 5, 256, 50
 SAMPLE = 4096  # rows that the top level is fitted on, and that first bounds come from
 LEAST_NODES, MOST_NODES = 32, 1024  # of the top level, growing with the data in between
-QUERY_TILE, LEAST_TILE, DATA_TILE = 16384, 1024, 8192
+LEAST_TILE, DATA_TILE = 1024, 32768  # rows of a tile, growing with the data in between
+QUERY_CHUNK = 4096  # queries that a tile answers at a time
 LEAF, FAN = 64, 64
 ENOUGH = 0.9  # share of a node pair's products left by its children's bounds from which the pair is computed as it is
 CELLS = 1 << 21  # products computed at once
@@ -100,10 +101,11 @@ def cover_tree(points: np.ndarray, rows: np.ndarray) -> Tree:
 
 
 class Search:
-    """The k best rows of d for each of q by score and then id, among those that reach the query's floor."""
+    """The k best rows of d for each of q by score and then id, among those that reach the query's floor. The tree of d may be given."""
 
-    def __init__(self, q: np.ndarray, q_row: np.ndarray, floor: np.ndarray, d: np.ndarray, d_row: np.ndarray, d_id: np.ndarray, k: int):
+    def __init__(self, q: np.ndarray, q_row: np.ndarray, floor: np.ndarray, d: np.ndarray, d_row: np.ndarray, d_id: np.ndarray, k: int, tree: Tree | None = None):
         self.q, self.q_row, self.floor, self.d, self.d_row, self.d_id, self.k = q, q_row, floor, d, d_row, d_id, k
+        self.tree = tree or cover_tree(d, np.arange(len(d)))
         self.exact = float(np.linalg.norm(q, axis=1).max()) * float(np.linalg.norm(d, axis=1).max()) < 2**52
         self.worst = floor.astype(float)
         self.found: tuple[np.ndarray, ...] = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))  # query, row of d, score
@@ -111,7 +113,7 @@ class Search:
 
     def run(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Positions in q and d and scores of the results."""
-        stack = [(cover_tree(self.q, np.arange(len(self.q))), cover_tree(self.d, np.arange(len(self.d))))]
+        stack = [(cover_tree(self.q, np.arange(len(self.q))), self.tree)]
         while stack:
             a, b = stack.pop()
             some_a, some_b = a.children or [a], b.children or [b]
@@ -200,6 +202,53 @@ def _runs(tiles: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+class Tile:
+    """The rows of a tile with their tree, made once, and answers to queries."""
+
+    def __init__(self, parts: list[pd.DataFrame], k: int):
+        pdf = pd.concat(parts)
+        self.v, self.row, self.id, self.nameless, self.k = scaled(matrix(pdf["embedding"])), *(pdf[c].to_numpy() for c in ("row", "id", "nameless")), k
+        self.tree = cover_tree(self.v, np.arange(len(self.v)))
+
+    def answer(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(parts)
+        q = scaled(matrix(pdf["embedding"], self.v.shape[1]))[:, : self.v.shape[1]]  # what is longer meets zeros
+        row, ids = pdf["row"].to_numpy(), pdf["id"].to_numpy()
+        i, j, score = Search(q, row, pdf["floor"].to_numpy(), self.v, self.row, self.id, self.k, self.tree).run()
+        return pd.DataFrame({
+            "query_row": row[i], "query_id": ids[i], "row": self.row[j], "id": self.id[j], "nameless": self.nameless[j],
+            "score": np.array([min(max(x, -_LAST - 1), _LAST) for x in score], np.int64), "key": np.array([sortable(x) for x in score], object),
+        })
+
+
+def _answers(k: int):
+    """Over frames sorted by tile, a tile's rows before the queries that it is asked."""
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, rows, asked, tile, n = None, [], [], None, 0
+        for pdf in frames:
+            for at, part in pdf.groupby("dt", sort=False):
+                if at != own:
+                    if asked and tile:
+                        yield tile.answer(asked)
+                    own, rows, asked, tile, n = at, [], [], None, 0
+                asks = part["asks"].to_numpy()
+                if not asks.all():
+                    rows.append(part[~asks])
+                if asks.any():
+                    if tile is None and rows:
+                        tile, rows = Tile(rows, k), []
+                    asked.append(part[asks])
+                    n += len(asked[-1])
+                if n >= QUERY_CHUNK and tile:
+                    yield tile.answer(asked)
+                    asked, n = [], 0
+        if asked and tile:
+            yield tile.answer(asked)
+
+    return search
+
+
 def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of each query's k highest scores, ties to the smaller vec_id.
 
@@ -218,10 +267,13 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
     them for more rows; every row goes to its nearest centre, and radii, angles
     and norms come from all rows. Each query's kth score within the sample
     bounds its result from below; node pairs whose bounds can't reach a query
-    group's worst kth score are dropped, and their rows never meet. The others
-    meet in tiles of bounded size, cut along nodes, where both sides' trees go
-    on; where bounds leave nearly all of a pair's products they are computed at
-    once, in blocks.
+    group's worst kth score are dropped, and their rows never meet. Rows are
+    dealt once, to tiles of bounded size cut along nodes; only queries, a
+    fiftieth of the rows, go to each tile that they may have to meet. A task
+    makes a tile's tree once and passes the queries by it in chunks, where both
+    sides' trees go on; where bounds leave nearly all of a pair's products they
+    are computed at once, in blocks. Without clusters nothing is ruled out, and
+    every query meets every tile.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -281,33 +333,20 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
         return Nodes(centres[[x.top for x in some_stats]], grown("radius"), grown("angle"), grown("low", 1 - 1e-9), grown("high"))
 
     meet = most_possible(nodes("q", asking), nodes("d", stats)) >= np.array([x.worst for x in asking])[:, None]
-    q_tiles = _packed({x.top: x.queries for x in asking}, QUERY_TILE)
     d_tiles = _packed({x.top: x.n for x in stats}, tile)
-    # For each node: its tiles, and the runs of tiles of the other side that it has to meet.
-    data_side = [(x.top, *d_tiles[x.top], _runs(q_tiles[asking[i].top] for i in np.flatnonzero(meet[:, j]))) for j, x in enumerate(stats) if meet[:, j].any()]
-    query_side = [(x.top, *q_tiles[x.top], _runs(d_tiles[stats[j].top] for j in np.flatnonzero(meet[i]))) for i, x in enumerate(asking)]
-    ddl = "top int, first int, parts int, others array<struct<begin: int, end: int>>"
-    other = F.explode(F.flatten(F.transform("others", lambda r: F.sequence(r["begin"], r["end"]))))
+    last = max(first + parts for first, parts in d_tiles.values())
+    # For each node: its own tiles, and for one with queries the runs of tiles that these have to meet.
+    data_side = [(x.top, *d_tiles[x.top]) for j, x in enumerate(stats) if meet[:, j].any()]
+    query_side = [(x.top, _runs(d_tiles[stats[j].top] for j in np.flatnonzero(meet[i]))) for i, x in enumerate(asking)]
     own = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    on_side = lambda df, side: df.join(F.broadcast(spark.createDataFrame(side, ddl)), "top").withColumn("own", own).withColumn("other", other)
-    d = on_side(placed, data_side).select("row", "id", "nameless", "embedding", "floor", F.lit(False).alias("asks"), F.col("other").alias("qt"), F.col("own").alias("dt"))
-    q = on_side(placed.where("query"), query_side).select("row", "id", "nameless", "embedding", "floor", F.lit(True).alias("asks"), F.col("own").alias("qt"), F.col("other").alias("dt"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy()
-        v, row = scaled(matrix(pdf["embedding"])), pdf["row"].to_numpy()
-        ids, nameless = pdf["id"].to_numpy(), pdf["nameless"].to_numpy()
-        i, j, score = np.zeros(0, int), np.zeros(0, int), []
-        if asks.any() and not asks.all():
-            i, j, score = Search(v[asks], row[asks], pdf["floor"].to_numpy()[asks], v[~asks], row[~asks], ids[~asks], k).run()
-        p = np.flatnonzero(~asks)[j]
-        held = [min(max(x, -_LAST - 1), _LAST) for x in score]
-        return pd.DataFrame({
-            "query_row": row[asks][i], "query_id": ids[asks][i], "row": row[p], "id": ids[p], "nameless": nameless[p],
-            "score": np.array(held, np.int64), "key": np.array([sortable(x) for x in score], object),
-        })
-
-    found = q.unionByName(d).groupBy("qt", "dt").applyInPandas(search, "query_row long, query_id long, row long, id long, nameless boolean, score long, key binary")
+    met = F.explode(F.flatten(F.transform("others", lambda r: F.sequence(r["begin"], r["end"]))))
+    on_side = lambda df, side, ddl: df.join(F.broadcast(spark.createDataFrame(side, ddl)), "top")
+    columns = ("row", "id", "nameless", "embedding", "floor")
+    d = on_side(placed, data_side, "top int, first int, parts int").select(*columns, F.lit(False).alias("asks"), own.alias("dt"))
+    q = on_side(placed.where("query"), query_side, "top int, others array<struct<begin: int, end: int>>").select(*columns, F.lit(True).alias("asks"), met.alias("dt"))
+    parts = min(tasks, last)
+    tiled = d.unionByName(q).withColumn("part", F.col("dt") % parts).repartitionById(parts, "part").sortWithinPartitions("dt", "asks").drop("part")
+    found = tiled.mapInPandas(_answers(k), "query_row long, query_id long, row long, id long, nameless boolean, score long, key binary")
     order = Window.partitionBy("query_row").orderBy(F.desc("key"), "nameless", "id", "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(~F.col("nameless"), F.col("id")).alias("vec_id"), "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from oracle import SF, connect, same
 
@@ -28,9 +29,9 @@ def test_query_matches_sql(spark):
     same(op8_top_k(spark, SF), topk_search.SQL, connect())
 
 
-@pytest.mark.parametrize("tiles", [(8, 32, 32), (2048, 1024, 8192)])
+@pytest.mark.parametrize("tiles", [(32, 32), (1024, 8192)])
 def test_like_brute_force(spark, monkeypatch, tiles):
-    for name, value in zip(("QUERY_TILE", "LEAST_TILE", "DATA_TILE", "LEAF", "SAMPLE"), (*tiles, 8, 40)):
+    for name, value in zip(("LEAST_TILE", "DATA_TILE", "LEAF", "SAMPLE"), (*tiles, 8, 40)):
         monkeypatch.setattr(topk_search, name, value)
     draw = np.random.default_rng(2)
     base = draw.standard_normal((9, 6))
@@ -38,6 +39,27 @@ def test_like_brute_force(spark, monkeypatch, tiles):
     assert got(spark, rows) == brute(rows)
 
 
+def test_rows_are_dealt_once_and_trees_made_once(monkeypatch):
+    """A tile's rows come before its queries, which pass by its tree in chunks, over frames cut anywhere."""
+    monkeypatch.setattr(topk_search, "QUERY_CHUNK", 7)
+    made, real = [], topk_search.cover_tree
+    monkeypatch.setattr(topk_search, "cover_tree", lambda points, rows: made.append(len(rows)) or real(points, rows))
+    draw = np.random.default_rng(6)
+    v = np.round(draw.standard_normal((120, 4)), 2)
+    frame = pd.DataFrame({"row": range(120), "id": range(120), "nameless": False, "embedding": list(v), "floor": -np.inf, "asks": False, "dt": np.arange(120) // 40})
+    asked = pd.concat([frame.iloc[:30].assign(asks=True, dt=t) for t in range(3)])
+    rows = pd.concat([frame, asked]).sort_values(["dt", "asks"], kind="stable")
+    for size in (1, 9, 500):
+        made.clear()
+        out = pd.concat(topk_search._answers(5)(iter([rows.iloc[a : a + size] for a in range(0, len(rows), size)])))
+        best = out.sort_values(["query_row", "score", "id"], ascending=[True, False, True]).groupby("query_row").head(5)
+        scores = topk_search.scaled(v[:30]) @ topk_search.scaled(v).T
+        for x, own in best.groupby("query_row"):
+            want = sorted((y for y in range(120) if y != x), key=lambda y: (-scores[x, y], y))[:5]
+            assert own["id"].tolist() == want
+        assert made.count(40) == 3 and len(best) == 150 and max(n for n in made if n != 40) <= max(7 + size, 30)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, -0.5]), (0, [1.0, -0.5]), (50, []), (100, [0.0, 0.0, 3.0]), (150, None), (200, [nan, 1.0]), (250, [inf]), (300, [None, 1.0]), (1, [1.0, -0.5]), (None, [2.0, 2.0]), (-50, [0.001])]
