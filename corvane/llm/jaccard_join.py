@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import bounded_batches, dropped, table, written
-from corvane.llm.components import components
+from corvane.llm.components import LocalClasses, components
 from corvane.llm.shingles import WORDS, mix, shingle_set
 
 PERCENT = 80
@@ -75,9 +76,17 @@ def _key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
+def _prefix(x: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, sorted; those in equally full buckets go by their hash."""
+    if not len(x):
+        return x
+    f = often[(x >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+    return np.sort(x[np.lexsort((x, f))[: prefix_length(len(x))]])
+
+
+def _profiles(docs: DataFrame, counts: Broadcast) -> DataFrame:
     """(id, key, twin, n, s, t, g, prefix): size, 128-bit digest (s, t) of the shingle set, digest g of size and prefix."""
-    counts = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
+    digest = _digest
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
@@ -85,14 +94,11 @@ def _profiles(docs: DataFrame) -> DataFrame:
             n, s, t, g, prefixes = [], [], [], [], []
             for raw in _texts(b, "text"):
                 x = shingle_set(raw)
-                p = x[:0]
-                if len(x):
-                    f = often[(x >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-                    p = np.sort(x[np.lexsort((x, f))[: prefix_length(len(x))]])
+                p = _prefix(x, often)
                 n.append(len(x))
-                s.append(_digest(x, 1))
-                t.append(_digest(x, 2))
-                g.append(_digest(p, 3 + len(x)))
+                s.append(digest(x, 1))
+                t.append(digest(x, 2))
+                g.append(digest(p, 3 + len(x)))
                 prefixes.append(p.view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int64).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
@@ -108,14 +114,14 @@ def _digest(x: np.ndarray, seed: int) -> int:
         return int(mix(np.array([np.sum(mix(x ^ _U(seed * 0x9E3779B97F4A7C15 % (1 << 64)))) + _U(len(x))])).view(np.int64)[0])
 
 
-def _least_common(small: Column, large: Column) -> Column:
+def _least_common(small: Column | np.ndarray, large: Column | np.ndarray, ceil=F.ceil) -> Column | np.ndarray:
     """Prefix shingles that sets of these sizes have in common at least, if they link.
 
     Linked sets have PERCENT / (100 + PERCENT) of their sizes' sum in common,
     and at most one set's part after its prefix of that isn't in both prefixes.
     """
-    needed = F.ceil(PERCENT * (small + large) / (100 + PERCENT))
-    return needed - F.ceil(PERCENT * large / 100) + 1
+    needed = ceil(PERCENT * (small + large) / (100 + PERCENT))
+    return needed - ceil(PERCENT * large / 100) + 1
 
 
 def _postings(profiles: DataFrame) -> DataFrame:
@@ -142,21 +148,28 @@ def _candidates(profiles: DataFrame) -> DataFrame:
 
     For shingles of up to LIST_GROUPS groups, common shingles are counted for
     each pair of fitting size; each posting gives fewer than LIST_GROUPS rows.
-    Longer lists become stars instead, whatever the pairs in them, and a group's
-    number of such shingles is added to its pairs' counts, so none is missed.
+    Longer lists become stars instead, whatever the pairs in them (they are
+    filtered within the area, in _verify), and a group's number of such shingles
+    is added to its pairs' counts, so none is missed. Postings of long lists never
+    meet: a sieve takes them out before the others are gathered by shingle, and
+    their join is with a written table, so Spark splits it.
     """
     spark = profiles.sparkSession
     postings, path = written(_postings(profiles), "postings")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("g").alias("head")).where("k > 1")
-    short = postings.join(lists.where(F.col("k") <= LIST_GROUPS).select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("a"))
+    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("g").alias("head")).where("k > 1")
+    lists, lists_path = written(counts, "lists")
+    sieve = spark.sparkContext.broadcast(_sieve(lists.where(F.col("k") > LIST_GROUPS).select("token")))
+    long = F.arrow_udf(lambda tokens: pa.array(_in_sieve(tokens.to_numpy(), sieve.value)), "boolean")
+    met, met_path = written(postings.where(long("token")).join(lists, "token"), "long-lists")  # and the few that the sieve can't tell from them
+    brief = postings.where(~long("token")).unionByName(met.where(F.col("k") <= LIST_GROUPS).select("g", "n", "token"))
+    short = brief.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("a")).where(F.size("a") > 1)
     fitting = lambda x, i: F.transform(
         F.filter(F.slice("a", i + 2, LIST_GROUPS), lambda y: 100 * x["n"] >= PERCENT * y["n"]),
         lambda y: F.struct(F.least(x["g"], y["g"]).alias("v"), F.greatest(x["g"], y["g"]).alias("u"), x["n"].alias("small"), y["n"].alias("large")),
     )
     pairs = short.select(F.explode(F.flatten(F.transform("a", fitting))).alias("p")).select("p.*").groupBy("u", "v", "small", "large").agg(F.count(F.lit(1)).alias("common"))
-    starred = postings.join(lists.where(F.col("k") > LIST_GROUPS).select("token", "head"), "token")
-    stars, star_path = written(starred.select("g", "head"), "stars")
-    more = stars.groupBy("g").agg(F.count(F.lit(1)).alias("more"))
+    stars = met.where(F.col("k") > LIST_GROUPS).select("g", "head")
+    more, more_path = written(stars.groupBy("g").agg(F.count(F.lit(1)).alias("more")), "starred")
     counted = (
         pairs.join(more.select(F.col("g").alias("u"), F.col("more").alias("more_u")), "u", "left")
         .join(more.select(F.col("g").alias("v"), F.col("more").alias("more_v")), "v", "left")
@@ -164,7 +177,7 @@ def _candidates(profiles: DataFrame) -> DataFrame:
     )
     near = counted.where(F.col("most") >= _least_common(F.col("small"), F.col("large"))).select("u", "v")
     areas = components(near.unionByName(stars.where("g <> head").select(F.col("g").alias("u"), F.col("head").alias("v"))))
-    dropped(spark, path, star_path)
+    dropped(spark, path, lists_path, met_path, more_path)
     return areas.unionByName(areas.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("g"), F.col("root").alias("area"))
 
 
@@ -193,22 +206,53 @@ def _in_sieve(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
     return (sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, s, t, shingles) for the rows of docs whose key is wanted; only those texts are hashed again, and none is shuffled."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_sieve(keys.select("key")))
+def _sets_of(docs: DataFrame, keys: DataFrame, counts: Broadcast) -> DataFrame:
+    """(key, s, t, shingles, prefix) for the rows of docs whose key is wanted; only those texts are hashed again, and none is shuffled."""
+    wanted, digest = docs.sparkSession.sparkContext.broadcast(_sieve(keys.select("key"))), _digest
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(_in_sieve(b.column("key").to_numpy(), wanted.value)))
             sets = [shingle_set(raw) for raw in _texts(b, "text")]
-            digests = [pa.array([_digest(x, seed) for x in sets], pa.int64()) for seed in (1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), *digests, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["key", "s", "t", "shingles"])
+            digests = [pa.array([digest(x, seed) for x in sets], pa.int64()) for seed in (1, 2)]
+            lists = [pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64())) for some in (sets, [_prefix(x, counts.value) for x in sets])]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *digests, *lists], ["key", "s", "t", "shingles", "prefix"])
+
+    return docs.select("key", "text").mapInArrow(hashes, "key long, s long, t long, shingles array<long>, prefix array<long>")
+
+
+class _Index:
+    """Sorted tokens of some lists and whose they are."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        tokens, owner = np.concatenate([np.zeros(0, np.int64), *lists]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner, self.size = tokens[order], owner[order], len(lists)
 
-    return docs.select("key", "text").mapInArrow(hashes, "key long, s long, t long, shingles array<long>")
+    def common(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of tokens each list has."""
+        lo, hi = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
+        size = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+        return np.bincount(self.owner[at], minlength=self.size)
+
+
+def _groups(part: pd.DataFrame, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Of the groups (sets of one size and prefix) among some rows: their prefixes, sizes and members."""
+    n, prefix, found = part["n"].to_numpy(), part["prefix"].to_numpy(), {}
+    for k in at:
+        found.setdefault((int(n[k]), prefix[k].tobytes()), []).append(k)
+    members = [np.array(m) for m in found.values()]
+    return [prefix[m[0]] for m in members], np.array([n[m[0]] for m in members], float), members
 
 
 def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact links among the sets of one bin (areas held whole) or between two tiles of one large area."""
+    """Exact links among the sets of one bin (areas held whole) or between two tiles of one large area.
+
+    Groups meet first: an index over their prefixes gives the shingles that they
+    have in common, and pairs of groups that don't fit in size or have too few go.
+    Members of those that are left (of a group, each other too) are compared.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     for _, part in pdf.groupby("area", sort=False):
         i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
@@ -216,37 +260,35 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
         left = np.flatnonzero(tile == i)
         right = left if i == j else np.flatnonzero(tile == j)
         sets, n = part["shingles"].to_numpy(), part["n"].to_numpy()
-        ids, weight = part["s"].to_numpy(), part["copies"].to_numpy()
+        ids, weight = part["node"].to_numpy(), part["copies"].to_numpy()
         if not len(left) or not len(right):
             continue
-        lengths = [len(sets[k]) for k in right]
-        tokens = np.concatenate([sets[k] for k in right])
-        owner = np.repeat(np.arange(len(right)), lengths)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        near = np.zeros(len(part), np.int64)
-        label = np.arange(len(part))
-        for k in left:
-            lo, hi = np.searchsorted(tokens, sets[k], "left"), np.searchsorted(tokens, sets[k], "right")
-            size = hi - lo
-            total = int(size.sum())
-            if not total:
-                continue
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-            both = np.bincount(owner[at], minlength=len(right))
-            linked = right[100 * both >= PERCENT * (n[k] + n[right] - both)]
-            linked = linked[linked != k]
-            if len(linked):
-                near[k] += weight[linked].sum()
-                if i != j:
-                    near[linked] += weight[k]
-                old = np.unique(np.append(label[linked], label[k]))
-                label[np.isin(label, old)] = old[0]
-        # Labels are local positions; the least set id of each label is the node all its members point to.
+        prefixes, sizes, members = _groups(part, left)
+        others, their_sizes, their_members = (prefixes, sizes, members) if i == j else _groups(part, right)
+        by_prefix, whole, place = _Index(others), _Index([sets[k] for k in right]), np.zeros(len(part), np.int64)
+        place[right] = np.arange(len(right))
+        near, compared, classes = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), LocalClasses(len(part))
+        for prefix, size, own in zip(prefixes, sizes, members):
+            small, large = np.minimum(size, their_sizes), np.maximum(size, their_sizes)
+            pairs = np.flatnonzero((by_prefix.common(prefix) >= _least_common(small, large, np.ceil)) & (100 * small >= PERCENT * large))
+            facing = np.concatenate([np.zeros(0, np.int64), *(their_members[v] for v in pairs)])
+            for k in own:
+                met = facing[facing != k]
+                if not len(met):
+                    continue
+                compared[k] = len(met)
+                both = whole.common(sets[k])[place[met]]
+                linked = met[100 * both >= PERCENT * (n[k] + n[met] - both)]
+                if len(linked):
+                    near[k] += weight[linked].sum()
+                    if i != j:
+                        near[linked] += weight[k]
+                    classes.join(np.append(linked, k))
+        # Labels are local positions; the least node of each label is the one that all its members point to.
         low = np.full(len(part), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, ids)
-        out.append((ids, part["t"].to_numpy(), near, low[label], np.full(len(part), part["tiles"].iloc[0] == 1)))
-    names = ["s", "t", "near", "root", "whole"]
+        np.minimum.at(low, classes.label, ids)
+        out.append((ids, near, low[classes.label], np.full(len(part), part["tiles"].iloc[0] == 1), compared))
+    names = ["node", "near", "root", "whole", "compared"]
     if not out:
         return pd.DataFrame({k: np.zeros(0, bool if k == "whole" else np.int64) for k in names})
     return pd.DataFrame({k: np.concatenate(v) for k, v in zip(names, zip(*out))})
@@ -269,11 +311,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
        same prefix and size form one group; groups meet on prefix shingles,
        pairs are filtered by size and by how many they share, and connected
        groups make an area. Long lists of a shingle become stars.
-    3. Only sets in areas are built again, and compared exactly within their
-       area, in tiles of bounded size where an area is large. Tiles return link
-       counts and one edge for each set.
-
-    Shingles are compared by 64-bit hashes, sets by 128 bits. Texts of any
+    3. Only sets in areas are built again and brought together by area, each
+       once, in tiles of bounded size where an area is large. There all pairs of
+       groups go through the filter, those of long lists too, and the members of
+       pairs that pass are compared exactly. Tiles return link counts and one edge
+       for each set.
+
+    Shingles are compared by 64-bit hashes, sets by 128 bits; those that may link
+    are numbered, and components are made of these numbers. Texts of any
     length are taken whole; an empty table gives no rows; other columns aren't
     looked at, whatever their names.
     """
@@ -312,44 +357,48 @@ def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").alias("id"), _key("doc_id", "text").alias("key"), F.xxhash64("text").alias("twin"), F.col("text"))
-    profiles, profile_path = written(_profiles(rows), "profiles")
+    often = spark.sparkContext.broadcast(_common_shingles(rows))
+    profiles, profile_path = written(_profiles(rows, often), "profiles")
     slim, _ = written(profiles.select("id", "key", "twin", "n", "s", "t", "g"), "sets")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "twin")).alias("first")
     sets = slim.where("n > 0").groupBy("s", "t").agg(F.max("n").alias("n"), F.max("g").alias("g"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), first)
     # A group of several sets is an area even if no other group is near it.
     crowded = sets.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", F.col("g").alias("area"))
-    areas = _candidates(profiles).unionByName(crowded).groupBy("g").agg(F.min("area").alias("area"))
+    # Tables that are joined on a key of possibly very many rows are written first, so that Spark can split the join.
+    areas, areas_path = written(_candidates(profiles).unionByName(crowded).groupBy("g").agg(F.min("area").alias("area")), "areas")
     dropped(spark, profile_path)
-    chosen, _ = written(sets.join(areas, "g").select("s", "t", "n", "copies", "key", "area"), "area-sets")
+    numbered = sets.join(areas, "g").select(F.monotonically_increasing_id().alias("node"), "s", "t", "n", "copies", "key", "area")
+    chosen, _ = written(numbered, "area-sets")
+    dropped(spark, areas_path)
 
     size = chosen.groupBy("area").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    sized = size.select("area", F.ceil(F.col("total") / TILE_SHINGLES).alias("tiles"))
-    bins = max(1, (size.agg(F.sum("total")).first()[0] or 0) // BIN_SHINGLES + 1)
-    members = chosen.join(sized, "area").withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("s", "t"), "tiles")).otherwise(0))
-    built = members.join(_sets_of(rows, chosen).dropDuplicates(["key", "s", "t"]), ["key", "s", "t"])
+    sized, _ = written(size.select("area", "total", F.ceil(F.col("total") / TILE_SHINGLES).alias("tiles")), "area-sizes")
+    bins = max(1, (sized.agg(F.sum("total")).first()[0] or 0) // BIN_SHINGLES + 1)
+    members = chosen.join(sized.drop("total"), "area").withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("node"), "tiles")).otherwise(0))
+    built = members.join(_sets_of(rows, chosen, often).dropDuplicates(["key", "s", "t"]), ["key", "s", "t"])
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     dealt = built.withColumn("other", partner).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
     bin_of = F.when(F.col("tiles") > 1, F.col("area")).otherwise(F.pmod(F.xxhash64("area"), F.lit(bins)))
     found = (
-        dealt.select(bin_of.alias("bin"), "area", "i", "j", "tile", "tiles", "s", "t", "n", "copies", "shingles")
+        dealt.select(bin_of.alias("bin"), "area", "i", "j", "tile", "tiles", "node", "n", "copies", "shingles", "prefix")
         .groupBy("bin", "i", "j", (F.col("tiles") > 1).alias("tiled"))
-        .applyInPandas(_verify, "s long, t long, near long, root long, whole boolean")
+        .applyInPandas(_verify, "node long, near long, root long, whole boolean, compared long")
     )
     found, _ = written(found, "verified")
-    links = found.groupBy("s", "t").agg(F.sum("near").alias("near"), F.min("root").alias("root"), F.bool_and("whole").alias("whole"))
-    across = found.where("NOT whole AND s <> root").select(F.col("s").alias("u"), F.col("root").alias("v"))
+    links = found.groupBy("node").agg(F.sum("near").alias("near"), F.min("root").alias("root"), F.bool_and("whole").alias("whole"))
+    across = found.where("NOT whole AND node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     if across.isEmpty():
         labelled = links.withColumn("label", F.col("root"))
     else:
-        joined = links.join(components(across).withColumnRenamed("root", "top"), F.col("s") == F.col("node"), "left")
-        labelled = joined.withColumn("label", F.when(F.col("whole"), F.col("root")).otherwise(F.coalesce("top", "s")))
-    near = labelled.select("s", "t", "near", "label")
-    linked = sets.join(near, ["s", "t"], "left").select("s", "t", "first", (F.col("copies") - 1 + F.coalesce(F.col("near"), F.lit(0))).alias("n_links"), F.coalesce("label", "s").alias("label"), F.col("label").isNull().alias("alone"))
+        tops = components(across).select(F.col("node").alias("own"), F.col("root").alias("top"))
+        labelled = links.join(tops, F.col("node") == F.col("own"), "left").withColumn("label", F.when(F.col("whole"), F.col("root")).otherwise(F.coalesce("top", "node")))
+    near = labelled.select("node", "near", "label").join(chosen.select("node", "s", "t"), "node").drop("node")
+    linked = sets.join(near, ["s", "t"], "left").select("s", "t", "first", (F.col("copies") - 1 + F.coalesce(F.col("near"), F.lit(0))).alias("n_links"), "label")
     linked, _ = written(linked, "set-links")
     # Both sides of this join are written tables, so that Spark can split a large component's sets among tasks.
-    least, _ = written(linked.where("NOT alone").groupBy("label").agg(F.min("first").alias("least")), "least")
-    joined = linked.where("NOT alone").join(least, "label").select("s", "t", "n_links", F.col("least").alias("first"))
-    info, _ = written(joined.unionByName(linked.where("alone").select("s", "t", "n_links", "first")), "classes")
+    least, _ = written(linked.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least")), "least")
+    joined = linked.join(least, "label").select("s", "t", "n_links", F.col("least").alias("first"))
+    info, _ = written(joined.unionByName(linked.where("label IS NULL").select("s", "t", "n_links", "first")), "classes")
     return slim, info
 
 

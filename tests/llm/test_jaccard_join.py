@@ -95,6 +95,78 @@ def test_colliding_keys_change_nothing(spark, monkeypatch, odd_docs):
     assert sorted((tuple(r) for r in jaccard_classes(odd_docs).collect()), key=repr) == sorted((w[:4] for w in brute(given)), key=repr)
 
 
+def test_sets_of_equal_first_digests_stay_apart(spark, monkeypatch):
+    """With the first 64 bits of all sets' digests equal, classes and what is kept are those of brute force."""
+    real = jaccard_join._digest
+    monkeypatch.setattr(jaccard_join, "_digest", lambda x, seed: 5 if seed == 1 else real(x, seed))
+    base, other = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "tail"])), (3, " ".join(other)), (4, " ".join([*other, "end"])), (5, "something else of five words")]
+    for tile in (50, 1 << 20):
+        monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", tile)
+        for given in (rows, corpus(80)):
+            docs, want = spark.createDataFrame(given, "doc_id long, text string"), brute(given)
+            assert sorted(tuple(r) for r in jaccard_classes(docs).collect()) == [w[:4] for w in want]
+            assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == sorted({w[3] if w[1] else w[0] for w in want})
+
+
+def verified(spark, monkeypatch, rows):
+    """Result rows and the table of compared pairs."""
+    kept = []
+    real = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, what: kept.append((what, x := real(df, what))) or x)
+    got = sorted(tuple(r) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    return got, dict(kept)["verified"][0]
+
+
+def test_only_pairs_that_pass_the_filter_are_compared(spark, monkeypatch):
+    """A shingle run in many texts makes one area of them, of whose pairs few are compared."""
+    passage, rows = [f"p{k}" for k in range(7)], []
+    for i in range(300):
+        own = [f"x{i}w{k}" for k in range(6)] + passage
+        rows.append((2 * i, " ".join(own)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join([*own, "more"])))
+    for tile in (400, 1 << 20):
+        monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", tile)
+        got, table = verified(spark, monkeypatch, rows)
+        assert got == [w[:4] for w in brute(rows)]
+        compared = table.selectExpr("sum(compared)").first()[0]
+        assert 100 <= compared < len(rows) * 10
+
+
+def test_a_shingle_of_very_many_groups_meets_in_no_task(spark, monkeypatch):
+    """Postings of a long list are joined with a written table, by a join that Spark splits, and never gathered."""
+    rows = [(i, " ".join([f"p{k}" for k in range(8)] + [f"x{i}"])) for i in range(5000)] + [(5000 + i, " ".join(f"y{i}w{k}" for k in range(8))) for i in range(300)]
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    plans, real = {}, jaccard_join.written
+
+    def watch(df, what):
+        out = real(df, what)
+        if what == "long-lists":
+            df.collect()
+            plans[what] = df._jdf.queryExecution().executedPlan().toString()
+            plans["rows"] = out[0].count()
+        if what == "verified":
+            plans["compared"] = out[0].selectExpr("sum(compared)").first()[0]
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", watch)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert all(r.n_links == 0 and r.component_id == r.doc_id for r in jaccard_classes(docs).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert plans["rows"] >= 5000 and "SortMergeJoin(skew=true)" in plans["long-lists"] and plans["compared"] == 0
+
+
 def test_bound_is_reached_exactly(spark):
     # 9 shingles, 8 in common of 10 together: exactly 0.8; with 7 of 9 below it.
     a = "a b c d e f g h i j k l m"
