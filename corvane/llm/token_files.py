@@ -137,8 +137,8 @@ def _qualified(spark: SparkSession, path: str) -> str:
 
 def write_placed_tokens(docs: DataFrame, path: str, model_path: str) -> None:
     """Token files of docs, a plain scan of Parquet files: a folder for each split of a file, with its rows in the file's order."""
-    meta = {"source": F.md5(F.col("_metadata.file_path")), "start": F.col("_metadata.file_block_start"), "at": F.col("_metadata.row_index")}
-    placed = docs.select(F.col("text"), *(c.alias(k) for k, c in meta.items()))
+    meta = docs.metadataColumn("_metadata")
+    placed = docs.select(F.col("text"), F.md5(meta["file_path"]).alias("source"), meta["file_block_start"].alias("start"), meta["row_index"].alias("at"))
     write_token_files(placed, path, model_path, folders=("source", "start"), order=("at",))
 
 
@@ -171,7 +171,8 @@ def placed_counts(docs: DataFrame, counted: DataFrame) -> DataFrame:
     before = Window.partitionBy("source").orderBy("start", "file").rowsBetween(Window.unboundedPreceding, -1)
     splits = named.groupBy("source", "start", "file").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     found = named.join(splits.select("file", "before"), "file").select("source", (F.col("before") + F.col("nth")).alias("at"), "n_tokens")
-    rows = docs.select("doc_id", F.md5(F.col("_metadata.file_path")).alias("source"), F.col("_metadata.row_index").alias("at"))
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", F.md5(meta["file_path"]).alias("source"), meta["row_index"].alias("at"))
     sizes = [x.groupBy("source").agg(F.count(F.lit(1)).alias(f"n_{i}")) for i, x in enumerate((rows, found))]
     if not sizes[0].join(sizes[1], "source", "full").where(~F.col("n_0").eqNullSafe(F.col("n_1"))).isEmpty():
         raise RuntimeError("the table has changed since its token files were written")
