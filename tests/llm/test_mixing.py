@@ -2,6 +2,7 @@ from collections import Counter
 
 import pytest
 from oracle import SF, connect, same
+from pyspark.sql import functions as F
 
 from corvane.llm import mixing
 from corvane.llm.mixing import mix, mix_positions, period_schedule
@@ -77,6 +78,35 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert mix_positions(odd_docs, {}, 1).count() == odd_docs.count()
 
 
+def test_rows_of_one_key_are_dealt_to_many_partitions(spark, tmp_path, monkeypatch):
+    """Two thirds of all rows are the same document: still every place is given once, and rows lie in order."""
+    rows = [(7, "the same", "a", k) for k in range(4000)] + [(10 + k, "t", "ab"[k % 2], k) for k in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, _metadata long").repartition(5).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        for few in (mixing.MOST_SEGMENTS, 0):
+            monkeypatch.setattr(mixing, "MOST_SEGMENTS", few)
+            out = mix_positions(docs, {"a": 3, "b": 1}, 1, block_rows=4)
+            got = out.withColumn("part", F.spark_partition_id()).collect()
+            assert [r.mix_pos for r in got] == list(range(6000))
+            assert sorted(r.row["_metadata"] for r in got) == sorted(r[3] for r in rows)
+            sizes = Counter(r.part for r in got)
+            assert len(sizes) == 9 and max(sizes.values()) < 1.2 * 6000 / 9
+            for source in "ab":
+                own = [(r.block, r.slot) for r in got if r.row.source == source]
+                assert [b for b, _ in own] == [k // 4 for k in range(len(own))] and own == sorted(own)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_whole_rows_are_shuffled_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = mix_positions(docs, mixing.WEIGHTS, mixing.REST)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") - plan.count("Exchange hashpartitioning(pool") == 1, plan
+    assert plan.count("REPARTITION_BY_NUM") == 1
+
+
 def test_weights_are_checked(odd_docs):
     for weights, rest in (({"a": 0}, 1), ({"a": -1}, 1), ({"a": 1}, 0)):
         with pytest.raises(ValueError):
