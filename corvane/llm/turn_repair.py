@@ -7,10 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from corvane.llm.common import bounded_batches, dropped, table, written
 from corvane.llm.crc import crc32_sql
@@ -184,9 +183,11 @@ def audits(conversations: list[bytes]) -> tuple[list[int], list[str]]:
     the costs from every state before a unit to every state after it are found
     for many units side by side; going back over a conversation's units gives
     the costs at each one's end. Going forward, each unit begins in the state
-    that the one before it ends in.
+    that the one before it ends in. Conversations are taken by length, so that
+    those held side by side are of like length.
     """
-    cut = [_units(c) for c in conversations]
+    order = sorted(range(len(conversations)), key=lambda k: len(conversations[k]))
+    cut = [_units(conversations[k]) for k in order]
     units = [u for own in cut for u in own]
     many = [u for own in cut if len(own) > 1 for u in own]
     through = iter([m for at in range(0, len(many), PRODUCTS) for m in _through(many[at : at + PRODUCTS])])
@@ -201,7 +202,7 @@ def audits(conversations: list[bytes]) -> tuple[list[int], list[str]]:
     parts, costs, at, state, begins = [], [], 0, 0, True
     while at < len(units):
         to = longest = 0
-        while at + to < len(units) and (not to or (to + 1) * max(longest, len(units[at + to])) <= SOLVED):
+        while at + to < len(units) and (not to or (to + 1) * max(longest, len(units[at + to])) <= SOLVED and len(units[at + to]) <= 2 * len(units[at])):
             longest = max(longest, len(units[at + to]))
             to += 1
         pointers, letter, start, cost = _ranked(units[at : at + to], np.array(ends[at : at + to]), np.array(last[at : at + to]))
@@ -215,7 +216,8 @@ def audits(conversations: list[bytes]) -> tuple[list[int], list[str]]:
         parts += _walks(pointers, letter, start[np.arange(to), states])
         at += to
     part, cost = iter(parts), iter(costs)
-    return [next(cost) if own else 0 for own in cut], ["".join(next(part) for _ in own) for own in cut]
+    made = dict(zip(order, [(next(cost) if own else 0, "".join(next(part) for _ in own)) for own in cut]))
+    return [made[k][0] for k in range(len(cut))], [made[k][1] for k in range(len(cut))]
 
 
 def _solved(codes: pa.Array) -> pa.Array:
