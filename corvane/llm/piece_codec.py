@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -23,6 +24,7 @@ UNKNOWN, CONTROL, BYTE, NORMAL = 2, 3, 6, 1  # piece types of the model file
 CACHE_WORDS = 200_000  # of each of two generations; with the pairs some 100 MB in each encoding worker
 CACHE_WORD_CHARS = 64
 CACHE_PAIRS = 250_000  # over all lengths of the left one
+SLICE = 1 << 16  # characters of a text whose words are held at a time, where spaces allow
 SHORT = 64  # symbols up to which merging scans all pairs rather than keeping a heap
 NEVER = float("-inf")
 SHARED = 1 << 40  # puts a match far before the word's start
@@ -159,10 +161,12 @@ class PieceCodec:
         #: No piece reaches over the start of a run of spaces, so texts fall apart there.
         self.apart = not any(" " in p.lstrip(" ") for p in self.id_of)
         self.chunks = re.compile(" +[^ ]*|[^ ]+" if self.apart else "(?s).+")
+        self.run_of_spaces = re.compile("(?<! ) ")
         #: By the left piece's length: whether a text falls apart there.
         self.pairs: list[dict[str, bool]] = [{} for _ in range(max(map(len, self.id_of), default=0) + 2)]
         self.n_pairs = 0
         self.cache = _Words(self, {})
+
     def fits(self, left: str, right: str) -> bool:
         """Whether merging the two pieces' text gives the two pieces again."""
         if self.n_pairs >= CACHE_PAIRS:
@@ -220,7 +224,20 @@ class PieceCodec:
         """Ids as 32-bit integers of the machine's byte order; an empty text has none."""
         if not text:
             return b""
-        text = text.replace(MARK, " ")
+        return b"".join(map(self._part, self._slices(text.replace(MARK, " "))))
+
+    def _slices(self, text: str) -> Iterator[str]:
+        """A text cut at spaces that begin a run of them; that one space is left out, as each part is coded with one before it."""
+        at = 0
+        while self.model.dummy_prefix and self.apart and len(text) - at > SLICE:
+            space = self.run_of_spaces.search(text, at + SLICE, len(text) - 1)
+            if not space:
+                break
+            yield text[at : space.start()]
+            at = space.end()
+        yield text[at:]
+
+    def _part(self, text: str) -> bytes:
         words = text.split(" ") if self.model.dummy_prefix and self.apart else [""]
         if "" not in words:  # single spaces only: each word has one before it
             out = b"".join(map(self.cache.__getitem__, words))

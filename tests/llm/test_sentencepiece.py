@@ -102,3 +102,15 @@ def test_nulls_stay_null(spark):
     assert [tuple(r) for r in coded.collect()] == [(None, None, None), ("", [], ""), ("a b", LIB.encode("a b"), "a b")]
     both = df.select(codec.both("ids").alias("b")).select("b.ids", "b.decoded")
     assert [tuple(r) for r in both.collect()] == [(None, None), ([], ""), (LIB.encode("a b"), "a b")]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7])
+def test_texts_cut_into_slices_like_the_library(monkeypatch, size):
+    from corvane.llm import piece_codec
+
+    monkeypatch.setattr(piece_codec, "SLICE", size)
+    draw = random.Random(size)
+    for _ in range(1500):
+        agree("".join(draw.choice("ab   ▁\n-é日") for _ in range(draw.randint(0, 40))))
+    for text in ("the cat " * 50, " " * 30, "a" * 30 + " ", " " + "a" * 30, "a  b   c    d ", "▁a▁▁b▁"):
+        agree(text)
